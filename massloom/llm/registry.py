@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import quality_rules, secrets, sharding
 
 QUERIES = {
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
 }
-ORACLE_SQL = {"op5_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL = {
+    "op4_secret_scan": secrets.ORACLE_SQL,
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
+}
