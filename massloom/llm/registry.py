@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets, sharding
+from . import quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
 ORACLE_SQL = {
     "op4_secret_scan": secrets.ORACLE_SQL,
