@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import mixing, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op7_mixing": mixing.op7_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
