@@ -65,17 +65,18 @@ NEXT = _log([[0.02, 0.9, 0.07, 0.01], [0.02, 0.06, 0.87, 0.05], [0.02, 0.85, 0.0
 MARKED, CONTINUED, OPENED_BARE = np.log(0.97), np.log(0.98), np.log(0.05)
 
 
-def viterbi(marks: np.ndarray, sure: np.ndarray, features: np.ndarray, opens: np.ndarray, emission: np.ndarray) -> np.ndarray:
+def viterbi(marks: np.ndarray, sure: np.ndarray, features: np.ndarray, opens: np.ndarray, closed: np.ndarray, emission: np.ndarray) -> np.ndarray:
     """States of all lines: role r opening a turn is r, going on is r + number of roles.
 
     sure says that the mark comes from outside the text (a table's role column) and is all but certain.
     opens says that a turn starts on the line for certain (a row of a table); elsewhere a marker, or its
-    lack, tells. emission: log probability of a line feature [role, feature].
+    lack, tells; a closed line opens no turn (a further line of a row whose role is named). emission: log probability of a line feature [role, feature].
     """
     k, n = len(ROLES), len(marks)
     right, wrong = np.where(sure, np.log(0.9999), MARKED)[:, None], np.where(sure, np.log(1e-5), np.log(0.03 / (k - 1)))[:, None]
     see = emission.T[features]  # [line, role]
     open_ = np.where(marks[:, None] == NO_MARKER, np.where(opens[:, None], 0.0, OPENED_BARE), np.where(marks[:, None] == np.arange(k), right, wrong)) + see
+    open_ = np.where(closed[:, None], -1e9, open_)
     on = np.where(opens[:, None], -1e9, np.where(marks[:, None] == NO_MARKER, CONTINUED, np.log(0.02))) + see
     best = np.r_[START + open_[0], np.full(k, -1e9)]
     back = np.zeros((n, 2 * k), np.int32)
@@ -98,13 +99,14 @@ def render(turns: list[tuple[int, str]]) -> str:
     return "".join(f"<|{ROLES[r]}|>\n{t}\n<|end|>\n" for r, t in turns)
 
 
-def recover(lines: list[str], given: list[int], opens: list[bool], emission: np.ndarray) -> list[tuple[int, str]]:
+def recover(lines: list[str], given: list[int], opens: list[bool], emission: np.ndarray, closed: list[bool] | None = None) -> list[tuple[int, str]]:
     """Turns (role, text) of one transcript's lines. given: role named outside the line, or NO_MARKER."""
+    closed = closed or [False] * len(lines)
     if not lines:
         return []
-    seen = [marker(line) if g == NO_MARKER else (g, line) for line, g in zip(lines, given, strict=True)]
+    seen = [(g, line) if g != NO_MARKER else (NO_MARKER, line) if c else marker(line) for line, g, c in zip(lines, given, closed, strict=True)]
     marks, bare = np.array([m for m, _ in seen]), [b for _, b in seen]
-    states = viterbi(marks, np.array(given) != NO_MARKER, np.array([feature(b) for b in bare]), np.array(opens), emission)
+    states = viterbi(marks, np.array(given) != NO_MARKER, np.array([feature(b) for b in bare]), np.array(opens), np.array(closed), emission)
     turns: list[tuple[int, list[str]]] = []
     for s, text in zip(states, bare, strict=True):
         if s < len(ROLES) or not turns:
@@ -139,7 +141,7 @@ _OUT = "n_turns long, roles string, n_recovered long, rendered string"
 
 def _format(rows: list[tuple], emission: np.ndarray) -> tuple:
     """rows: (role name, text) in order, each opening a turn."""
-    lines, given, opens = [], [], []
+    lines, given, opens, closed = [], [], [], []
     for name, text in rows:
         role = named_role(name)
         for i, line in enumerate((text or "").split("\n")):
@@ -147,7 +149,8 @@ def _format(rows: list[tuple], emission: np.ndarray) -> tuple:
             lines.append(line)
             given.append(role if role != NO_MARKER and i == 0 else NO_MARKER)
             opens.append(i == 0)
-    turns = recover(lines, given, opens, emission)
+            closed.append(i > 0 and role != NO_MARKER)
+    turns = recover(lines, given, opens, emission, closed)
     hidden = sum(named_role(name) == NO_MARKER for name, _ in rows)
     return len(turns), ",".join(ROLES[r] for r, _ in turns), hidden, render(turns)
 

@@ -22,7 +22,7 @@ from .linear import Sparse, fit_logistic, sigmoid
 
 CATEGORIES = ("named", "coined", "dense", "toxic")
 #: Bound of the labelled sample: at most this many rows of each label.
-MAX_ROWS_PER_LABEL = 6000
+MAX_ROWS_PER_LABEL = 4000
 #: Bound of the vocabulary.
 MAX_FEATURES = 4096
 #: Lengths, in bytes, of the word beginnings.
@@ -73,7 +73,12 @@ def _choose(rows: list[set[bytes]], y: np.ndarray, least_g2: float = 24.0) -> li
     n1, n0 = int(y.sum()), int((1 - y).sum())
     with_1, with_0 = Counter(), Counter()
     for words, label in zip(rows, y, strict=True):
-        (with_1 if label else with_0).update({m for w in words for m in _marks(w)})
+        if label:
+            with_1.update({m for w in words for m in _marks(w)})
+    with_1 = Counter({m: a for m, a in with_1.items() if a >= 6})  # fewer can't be beyond chance
+    for words, label in zip(rows, y, strict=True):
+        if not label:
+            with_0.update({m for w in words for m in _marks(w) if m in with_1})
     scored = []
     for mark, a in with_1.items():
         b = with_0.get(mark, 0)
