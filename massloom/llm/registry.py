@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import chat, embedding_dedup, mixing, packing, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_packing": packing.op3_packing,
     "op7_mixing": mixing.op7_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
 ORACLE_SQL = {
+    "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op4_secret_scan": secrets.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
