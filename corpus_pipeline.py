@@ -1,11 +1,60 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near-dedup, secrets, mixing, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from massloom.llm import common, minhash, mixing, packing, secrets, toxicity
+
+#: A source is repeated this often at most; a mixture far from the sources' own shares would need more.
+MAX_REPEATS = 1.25
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on this stage's labelled rows, doesn't reject."""
+    return toxicity.reject_toxic(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8), that of the smallest id."""
+    return minhash.deduplicate(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets that look live, by their owners over this stage's corpus, are cut out."""
+    return secrets.redact_live(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, those of small sources repeated towards the target weights."""
+    return mixing.mix(docs, max_repeats=MAX_REPEATS)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 4096 tokens."""
+    return packing.pack(docs, packing.production_tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_dedup", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: No SQL can express the classifier and the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.materialize(docs)
     return docs
