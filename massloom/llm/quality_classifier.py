@@ -25,23 +25,30 @@ STATISTICS = (
     "n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "unique_share", "top_word_share", "top3_share",
     "word_entropy", "digit_share", "upper_share", "punct_share", "line_words", "short_word_share", "capital_share", "no_letter_share", "max_word",
 )
-_DIGITS, _UPPER, _PUNCT, _LETTERS = b"0123456789", bytes(range(65, 91)), b".,;:!?", bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
+_DIGITS, _UPPER, _PUNCT = b"0123456789", bytes(range(65, 91)), b".,;:!?"
+_SPACE, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def _statistics(text: bytes) -> tuple[float, ...]:
     n, chars, symbols, again, repeat, lines, different = quality_rules._measure(text)
     if not n:
         return (0.0,) * len(STATISTICS)
-    words = text.split()
-    size = sum(map(len, words))
-    count = Counter(words)
+    count = Counter(text.split())
     top = [c for _, c in count.most_common(3)]
     c = np.fromiter(count.values(), np.float64, len(count)) / n
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[raw].astype(np.int8), prepend=1, append=1))
+    start, end = edge[::2], edge[1::2]  # of every word
+    letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
+    length, head = end - start, raw[start]
+    size = int(length.sum())
     has = lambda which: len(text) - len(text.translate(None, which))
     return (
         float(n), chars / n, symbols / n, again / lines, repeat / n, different / n, top[0] / n, sum(top) / n,
         float(-(c * np.log(c)).sum()) / math.log(n + 1), has(_DIGITS) / size, has(_UPPER) / size, has(_PUNCT) / size, n / lines,
-        sum(len(w) <= 3 for w in words) / n, sum(65 <= w[0] <= 90 for w in words) / n, sum(not w.translate(None, delete=bytes(range(256)).translate(None, _LETTERS)) for w in words) / n, float(max(map(len, words))),
+        float((length <= 3).mean()), float(((head >= 65) & (head <= 90)).mean()), float((letters[end] == letters[start]).mean()), float(length.max()),
     )
 
 
