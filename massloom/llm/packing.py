@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,9 @@ class WordTokenizer:
     tokenizer's own splitting does; any other word is given to the tokenizer whole.
     """
 
-    MOST = 500_000  # remembered words of either kind; beyond that they are forgotten and learnt anew
+    MOST = 1_200_000  # remembered words; beyond that they are forgotten and learnt anew
+    #: A full stop or comma that may be one token with its neighbours: not between a plain letter or digit and white space.
+    JOINED = re.compile(rb"[.,](?:(?<![A-Za-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])|(?![ \n\t\r\x0b\x0c]|\Z))")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -43,29 +46,30 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.bare.model
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            ids = [t.id for t in self.bare.model.tokenize(part)] if part.isascii() else self.bare.encode(part, add_special_tokens=False).ids
-            got = np.array(ids, "<u2").tobytes()
-            if len(part) < 64:
-                if len(self.parts) >= self.MOST:
-                    self.parts = {"": b""}
-                self.parts[part] = got
-        return got
+        return array("H", [t.id for t in self.model.tokenize(part)] if part.isascii() else self.bare.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         simple = _SIMPLE.fullmatch(text)
         if simple:
-            return self._part(simple[1].lower()) + self._part(simple[2])
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            marks = simple[2]
+            if marks not in self.marks:
+                if len(marks) > 8:
+                    return self._part(simple[1].lower()) + self._part(marks)
+                self.marks[marks] = self._part(marks)
+            return self._part(simple[1].lower()) + self.marks[marks]
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of a whole text, without special tokens around it."""
+        if b"<|" not in text and not self.JOINED.search(text):
+            # fewer different words: lower case (special tokens, which heed case, can't occur), marks apart
+            text = text.lower().replace(b".", b" .").replace(b",", b" ,")
         words, known = text.split(), self.words
         try:
             return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2")
