@@ -1,22 +1,22 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 A document is its set of word shingles, each hashed once to 64 bits; equal sets form classes.
- 1. A count sketch of fixed size (one row, never too low) tells roughly how many documents hold a
-    value. It gives every value a frequency tier, the same for all documents.
- 2. A class retains its bottom values by (tier, hash): as many as two sets of the asked similarity must
-    share one of, less those that no other document holds. Very frequent values are retained only up to
-    HOT_KEPT of them. Inverted lists of retained values give the pairs whose sketches overlap.
+ 1. A count sketch of bounded size (one row, never too low) tells roughly how many documents hold a
+    value, and so puts every value into a frequency tier, the same for all documents: tier 0 is below what the
+    sketch can tell apart, each further tier doubles.
+ 2. Of the values in the order (tier, hash), two sets of the asked similarity must share one of the first few (a fifth of
+    the set at 0.8). Of these a class retains the bottom PER_TIER hashes of each tier; in some tier
+    four fifths or more of the values are shared, so a pair has no retained value in common with a chance below
+    0.2 ** PER_TIER. Inverted lists of retained values give the pairs whose sketches overlap.
  3. The smallest SKETCH hashes of both sets of a pair, merged, estimate the Jaccard similarity; pairs well
     below the threshold are dropped. What is left ties classes into loose groups.
  4. Inside a loose group full sets are compared exactly, block by block; a task returns a spanning forest
     of the links it found. Components of the forests are the groups of near copies.
-Classes that share a rare retained value always meet, so no link is lost to the filter but by the
-estimate's chance (eight standard deviations below the threshold at its size of sketch).
+The estimate's filter is set far below the threshold (six standard deviations at its size of sketch).
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -31,13 +31,12 @@ SHINGLE, PERCENT = 5, 80
 SKETCH = 64
 #: Pairs estimated below this are not tied together (loose on purpose: groups are compared exactly).
 LOOSE = 0.5
-#: A value that may be held by this many documents or more is hot; a class keeps this many hot values.
-HOT, HOT_KEPT = 64, 16
-#: Members of a hot list that meet in one list; sizes of compared blocks and of bins of small groups.
+#: Retained values per tier; lists up to SHORT are compared in full, longer ones through their leader and neighbours.
+PER_TIER, SHORT = 12, 64
+#: Members of a frequent value that meet in one list; sizes of compared blocks and of bins of small groups.
 LIST, BLOCK, BIN = 4096, 1024, 2048
 #: Bounds of the count sketch: counters (a byte each once it is broadcast).
 MIN_COUNTERS, MAX_COUNTERS, CHUNK = 1 << 16, 1 << 24, 1 << 16
-_HOT_TIER = 1 + int(math.log2(HOT))
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -92,10 +91,13 @@ def _scan(docs: DataFrame, n: int, counters: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, chunk int, counts binary")
 
 
-def _tiers(scanned: DataFrame, counters: int) -> np.ndarray:
-    """A byte per counter: 0 for values that one document holds at most, else 1 + log2 of their count.
+def _tiers(scanned: DataFrame, counters: int) -> tuple[np.ndarray, int]:
+    """(a byte per counter, floor): tier 0 below the floor, twice the counters' mean load, else 1 + log2 of count / floor.
     The counters are merged by chunk on the executors; at most MAX_COUNTERS bytes come to the driver."""
 
+    total = scanned.where("chunk is null").agg(F.sum("n_shingles")).first()[0] or 0
+    floor = max(2, -(-2 * total // counters))
+
     def merge(batches):
         # partial sums per task, so that a chunk's counts meet in few rows
         sums: dict[int, np.ndarray] = {}
@@ -104,38 +106,41 @@ def _tiers(scanned: DataFrame, counters: int) -> np.ndarray:
                 got = np.frombuffer(zlib.decompress(blob), "<u2")
                 sums[c] = sums[c] + got if c in sums else got.astype(np.uint64)
         for c, total in sums.items():
-            tier = np.where(total <= 1, 0, 1 + np.floor(np.log2(np.maximum(total, 1).astype(np.float64)))).astype(np.uint8)
+            tier = np.where(total < floor, 0, 1 + np.floor(np.log2(np.maximum(total / floor, 1)))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(tier.tobytes(), 1)], pa.binary())], ["chunk", "tiers"])
 
     chunks = scanned.where("chunk is not null").select("chunk", "counts").repartition(min(256, counters // CHUNK), "chunk")
     tiers = np.zeros(counters, np.uint8)
     for row in chunks.mapInArrow(merge, "chunk int, tiers binary").collect():
         tiers[row[0] * CHUNK : (row[0] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
-    return tiers
+    return tiers, floor
 
 
-def retained(values: np.ndarray, tier: np.ndarray, set_hash: int, percent: int) -> tuple[list[int], list[int]]:
-    """(cold, hot) list keys of a set: its bottom values by (tier, hash) among which any set of the asked
-    similarity has one. Hot values are dealt to lists of bounded length, with one list of picked members
-    over each value's lists."""
+def retained(values: np.ndarray, tier: np.ndarray, floor: int, set_hash: int, percent: int) -> list[int]:
+    """List keys of a set: in the order (tier, hash) the first values, among which any set of the asked similarity has
+    one, thinned to the bottom PER_TIER of each tier. A value that may be held by many documents is dealt to
+    lists of bounded length, with one list of picked members over them."""
     n = len(values)
-    need = n - (-(-percent * n // 100)) + 1 - int((tier == 0).sum())
-    if need <= 0:
-        return [], []
-    shared = np.flatnonzero(tier)
-    first = shared[np.argsort(tier[shared], kind="stable")][:need]
-    cold = values[first[tier[first] < _HOT_TIER]]
-    hot: list[int] = []
-    for i in first[tier[first] >= _HOT_TIER][:HOT_KEPT]:
-        lists = max(1, (1 << int(tier[i])) // LIST)
-        keys = [set_hash % lists] + ([lists] if lists > 1 and (set_hash >> 20) % min(lists, 1024) == 0 else [])
-        hot += [int(common.mix64(values[i] + np.uint64(k + 1))) for k in keys]
-    return cold.astype(np.int64).tolist(), np.array(hot, np.uint64).astype(np.int64).tolist()
+    need = n - (-(-percent * n // 100)) + 1
+    first = np.argsort(tier, kind="stable")[:need]  # values are sorted, so hashes rise inside a tier
+    own = tier[first]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    first = first[np.arange(len(first)) - np.repeat(starts, np.diff(np.r_[starts, len(first)])) < PER_TIER]
+    keys = values[first]
+    many = floor * (1 << tier[first].astype(np.int64)) > LIST
+    if not many.any():
+        return keys.astype(np.int64).tolist()
+    out = keys[~many].tolist()
+    for v, t in zip(keys[many], tier[first][many].tolist(), strict=True):
+        lists = -(-floor * (1 << t) // LIST)
+        dealt = [set_hash % lists] + ([lists] if (set_hash >> 20) % min(lists, 1024) == 0 else [])
+        out += [int(common.mix64(v + np.uint64(k + 1))) for k in dealt]
+    return np.array(out, np.uint64).astype(np.int64).tolist()
 
 
 def _sketches(docs: DataFrame, n: int, percent: int, tiers) -> DataFrame:
-    """(set_id, n, cold, hot, sketch) of each different set that retains values."""
-    names = ["set_id", "n", "cold", "hot", "sketch"]
+    """(set_id, n, keys, sketch) of each different set."""
+    names = ["set_id", "n", "keys", "sketch"]
 
     def run(batches):
         seen: set[bytes] = set()
@@ -148,25 +153,23 @@ def _sketches(docs: DataFrame, n: int, percent: int, tiers) -> DataFrame:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(sid)
-                    tier = tiers.value[_place(s, len(tiers.value))]
-                    cold, hot = retained(s, tier, int.from_bytes(sid[:8], "little"), percent)
-                    if cold or hot:
-                        rows.append((sid, len(s), cold, hot, s[:SKETCH].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names)
+                    by, floor = tiers.value
+                    keys = retained(s, by[_place(s, len(by))], floor, int.from_bytes(sid[:8], "little"), percent)
+                    rows.append((sid, len(s), keys, s[:SKETCH].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names)
 
-    return docs.select("text").mapInArrow(run, "set_id binary, n long, cold array<long>, hot array<long>, sketch binary")
+    return docs.select("text").mapInArrow(run, "set_id binary, n long, keys array<long>, sketch binary")
 
 
 def _pairs(sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b) different keys of classes on common lists: all pairs of a cold list, whose length is under HOT;
-    in a hot list each class with the list's first and with the one before it."""
-    cold = sketches.select(F.explode("cold").alias("v"), F.lit(False).alias("hot"), F.struct("n", "key").alias("x"))
-    hot = sketches.select(F.explode("hot").alias("v"), F.lit(True).alias("hot"), F.struct("n", "key").alias("x"))
-    lists = cold.union(hot).groupBy("v", "hot").agg(F.sort_array(F.collect_list("x")).alias("x")).where(F.size("x") > 1)
+    """(a, b) different keys of classes on common lists: all pairs of a list of up to SHORT; in a longer one each class with
+    the list's first and with the one before it, by size."""
+    posted = sketches.select(F.explode("keys").alias("v"), F.struct("n", "key").alias("x"))
+    lists = posted.groupBy("v").agg(F.sort_array(F.collect_list("x")).alias("x")).where(F.size("x") > 1)
     later = F.sequence(F.lit(2), F.size("x"))
     chain = F.flatten(F.transform(later, lambda i: F.array(F.struct(F.element_at("x", i - 1).alias("p"), F.element_at("x", i).alias("q")), F.struct(F.element_at("x", 1).alias("p"), F.element_at("x", i).alias("q")))))
     every = F.flatten(F.transform(later, lambda i: F.transform(F.slice("x", F.lit(1), i - 1), lambda p: F.struct(p.alias("p"), F.element_at("x", i).alias("q")))))
-    pair = lists.select(F.explode(F.when(F.col("hot"), chain).otherwise(every)).alias("y"))
+    pair = lists.select(F.explode(F.when(F.size("x") > SHORT, chain).otherwise(every)).alias("y"))
     pair = pair.where(F.col("y.p.n") * 100 >= F.col("y.q.n") * percent).where("y.p.key <> y.q.key")
     return pair.select(F.least("y.p.key", "y.q.key").alias("a"), F.greatest("y.p.key", "y.q.key").alias("b")).distinct()
 
@@ -273,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows; other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (size // 24).bit_length()))
+    counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (size // 8).bit_length()))
     scanned = common.materialize(_scan(docs, shingle, counters))
     tiers = docs.sparkSession.sparkContext.broadcast(_tiers(scanned, counters))
     every = scanned.where("chunk is null").select("doc_id", "n_shingles", "set_id")
