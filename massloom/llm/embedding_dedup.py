@@ -21,7 +21,7 @@ from . import common
 
 THRESHOLD = 0.9
 #: Bounds of what is fitted on the driver and broadcast: sampled vectors, cells, codes per sub-space.
-MAX_SAMPLE, MAX_CELLS, CODES = 20_000, 16_384, 256
+MAX_SAMPLE, MAX_CELLS, CODES = 20_000, 4096, 256
 #: Sub-space width, and how far a probe looks, in standard deviations of a neighbour's displacement.
 SUB, REACH = 4, 3.0
 #: Members and queries of a cell that one task compares.
@@ -33,7 +33,6 @@ class Index:
     cells: np.ndarray  # [cell, dim]
     books: list[np.ndarray]  # per sub-space: [code, width]
     splits: list[slice]
-    gaps: np.ndarray  # distances between cells
     radius: float
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +40,9 @@ class Index:
         d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ self.cells.T + (self.cells**2).sum(1), 0)
         own = d.argmin(1)
         # distance of x beyond the plane half way between its own cell and another
-        beyond = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
+        home, norm = self.cells[own], (self.cells**2).sum(1)
+        gaps = np.sqrt(np.maximum(norm[own][:, None] - 2 * home @ self.cells.T + norm, 1e-18))
+        beyond = (d - d[np.arange(len(x)), own][:, None]) / (2 * gaps)
         probe = beyond <= min(1.0, REACH / math.sqrt(x.shape[1])) * self.radius
         probe[np.arange(len(x)), own] = True
         return own, probe
@@ -68,11 +69,16 @@ class Index:
         return np.sqrt(np.maximum(out, 0))
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    norm = (c**2).sum(1)
+    return np.concatenate([(norm - 2 * x[i : i + 1024] @ c.T).argmin(1) for i in range(0, len(x), 1024)])
+
+
 def _means(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int) -> np.ndarray:
     k = min(k, len(x))
     c = x[draw.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+        own = _nearest(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -85,12 +91,11 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, seed: int = 3)
     draw = np.random.default_rng(seed)
     k = 2 ** round(math.log2(max(1.0, 8 * math.sqrt(n))))
     cells = _means(sample, min(k, MAX_CELLS, max(1, len(sample) // 8)), draw, 6)
-    own = ((cells**2).sum(1) - 2 * sample @ cells.T).argmin(1)
+    own = _nearest(sample, cells)
     rest = sample - cells[own]
     splits = [slice(i, min(i + SUB, sample.shape[1])) for i in range(0, sample.shape[1], SUB)]
     books = [_means(rest[:, s], CODES, draw, 6) for s in splits]
-    gaps = np.sqrt(np.maximum((cells**2).sum(1)[:, None] - 2 * cells @ cells.T + (cells**2).sum(1), 1e-18))
-    return Index(cells, books, splits, gaps, math.sqrt(2 - 2 * threshold))
+    return Index(cells, books, splits, math.sqrt(2 - 2 * threshold))
 
 
 def _classes(embeddings: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
