@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import split_wide
+from .settle import settle
 from .tolerance import PPM
 
 #: m/z width of a block.
@@ -72,7 +73,7 @@ def best_adjacent_match(a: DataFrame, b: DataFrame, ppm: float = 5.0) -> DataFra
     w = Window.partitionBy("__block").orderBy("mz", "origin", "id")
     rows = rows.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("mz", "origin", "id")]).where("__own")
     near = rows.where((F.col("origin") != F.col("p_origin")) & (F.col("mz") - F.col("p_mz") < tol))
-    near = near.withColumn("gap", F.col("mz") - F.col("p_mz")).select("mz", "p_mz", "gap", *_oriented())
+    near = settle(near.withColumn("gap", F.col("mz") - F.col("p_mz")).select("mz", "p_mz", "gap", *_oriented()))
     chained = gap_sessions(near, [], "mz", lambda v, p: v - p >= p * 4 * ppm * PPM, ["mz", "id1", "id2"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +150,7 @@ def centroid_grid(tracks: DataFrame, ppm: float = 5.0) -> DataFrame:
     """(sample_id, track_id, mz, session, part, grid_mz) for tracks of all samples: sessions cut at gaps of ppm or more;
     sessions wider than twice the tolerance are split at density seeds; a group's m/z is its median. Narrow
     sessions stay in built-in operators."""
-    cut = gap_sessions(tracks.select("sample_id", "track_id", "mz"), [], "mz", lambda v, p: v - p >= p * ppm * PPM, ["mz", "sample_id", "track_id"])
+    cut = settle(gap_sessions(tracks.select("sample_id", "track_id", "mz"), [], "mz", lambda v, p: v - p >= p * ppm * PPM, ["mz", "sample_id", "track_id"]))
     span = cut.groupBy("session").agg((F.max("mz") - F.min("mz") >= 2 * ppm * PPM * F.min("mz")).alias("wide"))
     cut = cut.join(span, "session")
 
@@ -161,6 +162,6 @@ def centroid_grid(tracks: DataFrame, ppm: float = 5.0) -> DataFrame:
     cols = ["sample_id", "track_id", "mz", "session"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*cols).schema) + ", part long"
     wide = cut.where("wide").select(*cols).groupBy("session").applyInPandas(split, schema)
-    parts = cut.where("not wide").select(*cols, F.lit(0).cast("long").alias("part")).union(wide)
+    parts = cut.where("not wide").select(*cols, F.lit(0).cast("long").alias("part")).union(settle(wide))
     middle = parts.groupBy("session", "part").agg(F.median("mz").alias("grid_mz"))
     return parts.join(middle, ["session", "part"]).select(*cols, "part", "grid_mz")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .features import quantitative_feature
+from .settle import settle
 from .spectra import above_base, base_peak, has_peak
 from .tolerance import band_join, mass_difference_pairs
 
@@ -152,13 +153,13 @@ def empirical_compounds(features: DataFrame, mode: str = "pos", ppm: float = 5.0
 
 def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(feature_id, compound): least member of each connected component, label by label with pointer jumps."""
-    both = edges.union(edges.select("b", "a")).distinct().checkpoint()
+    both = settle(edges.union(edges.select("b", "a")).distinct())
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l"))
     for _ in range(rounds):
         near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("n"))
         new = label.join(near, "a").select("a", F.least("l", "n").alias("l"))
         jump = new.select(F.col("a").alias("l"), F.col("l").alias("j"))
-        new = new.join(jump, "l", "left").select("a", F.least("l", F.coalesce("j", "l")).alias("l")).checkpoint()
+        new = settle(new.join(jump, "l", "left").select("a", F.least("l", F.coalesce("j", "l")).alias("l")))
         same = new.join(label, ["a", "l"], "left_anti").isEmpty()
         label = new
         if same:
