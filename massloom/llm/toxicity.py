@@ -135,7 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Chain
         words = [b" ".join(sorted(_words(t))) for t in common.text_or_empty(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], ["doc_id", "words", "y"])
 
-    got = common.map_arrow(picked.select("doc_id", "text", "y"), kernel, "doc_id long, words binary, y int").toArrow().sort_by("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = common.map_arrow(picked.select("doc_id", "text", "y"), kernel, f"doc_id {kind}, words binary, y int")
+    # one row per id, however often the id is repeated in docs
+    got = words.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("y").alias("y")).toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(np.int64)
     return fit(got.column("words").to_pylist(), y, prior=(n1 + 0.5) / (n0 + n1 + 1.0))
 
