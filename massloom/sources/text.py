@@ -117,7 +117,7 @@ def read_feature_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     if not samples:
         return features, spark.createDataFrame([], "feature_id string, sample_id string, area double")
     long = wide.select(F.col(f"`{names[0]}`").alias("feature_id"), *[F.col(f"`{s}`").try_cast("double").alias(s) for s in samples])
-    return features, long.unpivot("feature_id", samples, "sample_id", "area")
+    return features, long.unpivot("feature_id", [F.col(f"`{s}`") for s in samples], "sample_id", "area")
 
 
 def read_feature_list(spark: SparkSession, path: str, mz_col: int = 0, rt_col: int = 1, separator: str = "\t", skip: int = 1) -> DataFrame:
