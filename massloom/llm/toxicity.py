@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: categories are predicted in order, each linear model seeing the
 probabilities of the earlier ones; the later models are trained on out-of-fold probabilities.
 
-Features are the presence of words and of word beginnings, chosen on labelled rows. The labels only
+Features say that a word or a word beginning occurs, occurs often, or makes up much of the text, chosen on labelled rows. The labels only
 say toxic or not, so the categories before the last one are derived from them: `named` (a toxic row
 with whole words that mark toxicity), `coined` (with word beginnings that mark it over many
 different words), `dense` (with several marks); the last link is `toxic` itself.
@@ -22,11 +22,13 @@ from .linear import Sparse, fit_logistic, sigmoid
 
 CATEGORIES = ("named", "coined", "dense", "toxic")
 #: Bound of the labelled sample: at most this many rows of each label.
-MAX_ROWS_PER_LABEL = 4000
+MAX_ROWS_PER_LABEL = 2000
 #: Bound of the vocabulary.
 MAX_FEATURES = 4096
 #: Lengths, in bytes, of the word beginnings.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Levels of a mark: (name, least occurrences, least occurrences in 1000 words).
+LEVELS = ((b"", 1, 0), (b"#2", 2, 0), (b"#3", 3, 0), (b"@10", 2, 10), (b"@30", 2, 30))
 _STRIP = b".,;:!?\"'()[]{}*_"
 
 
@@ -46,39 +48,68 @@ class Chain:
         return out
 
 
-def _words(text: bytes) -> set[bytes]:
-    return {w.strip(_STRIP) for w in set(text.lower().split())}
+def _words(text: bytes) -> Counter:
+    out: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        out[w.strip(_STRIP)] += n
+    return out
 
 
 def _marks(word: bytes) -> list[bytes]:
-    """The features of a word: itself, and its beginnings marked with a star."""
+    """The marks of a word: itself, and its beginnings with a star."""
     return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
 
 
-def _features(text: bytes, memo: dict[bytes, tuple[int, ...]], vocabulary: dict[bytes, int]) -> set[int]:
-    out: set[int] = set()
-    for w in _words(text):
+def _levels(count: int, n: int) -> list[bytes]:
+    return [name for name, least, rate in LEVELS if count >= least and 1000 * count >= rate * n]
+
+
+def _features(words: Counter, memo: dict[bytes, tuple[bytes, ...]], vocabulary: dict[bytes, int], marks: set[bytes]) -> set[int]:
+    """Features of a text given as counted words; memo holds which marks of a word are in the vocabulary."""
+    counts: Counter = Counter()
+    for w, n in words.items():
         got = memo.get(w)
         if got is None:
-            got = tuple(vocabulary[m] for m in _marks(w) if m in vocabulary)
+            got = tuple(m for m in _marks(w) if m in marks)
             if len(memo) < 500_000 and len(w) < 64:
                 memo[w] = got
-        if got:
-            out.update(got)
-    return out
+        for m in got:
+            counts[m] += n
+    if not counts:
+        return set()
+    total = sum(words.values())
+    return {vocabulary[f] for m, c in counts.items() for level in _levels(c, total) if (f := m + level) in vocabulary}
+
+
+def _all_features(words: Counter, only: set[bytes] | None = None) -> set[bytes]:
+    counts: Counter = Counter()
+    for w, n in words.items():
+        for m in _marks(w):
+            if only is None or m in only:
+                counts[m] += n
+    total = sum(words.values())
+    return {m + level for m, c in counts.items() for level in _levels(c, total)}
+
+
+def _base(feature: bytes) -> bytes:
+    for name, _, _ in LEVELS[1:]:
+        if feature.endswith(name):
+            return feature[: -len(name)]
+    return feature
 
 
-def _choose(rows: list[set[bytes]], y: np.ndarray, least_g2: float = 24.0) -> list[bytes]:
+def _choose(rows: list[Counter], y: np.ndarray, least_g2: float = 20.0) -> list[bytes]:
     """Features that mark toxic rows: by the likelihood ratio, far beyond chance."""
     n1, n0 = int(y.sum()), int((1 - y).sum())
     with_1, with_0 = Counter(), Counter()
     for words, label in zip(rows, y, strict=True):
         if label:
-            with_1.update({m for w in words for m in _marks(w)})
+            with_1.update(_all_features(words))
     with_1 = Counter({m: a for m, a in with_1.items() if a >= 6})  # fewer can't be beyond chance
+    only = {_base(m) for m in with_1}
     for words, label in zip(rows, y, strict=True):
         if not label:
-            with_0.update({m for w in words for m in _marks(w) if m in with_1})
+            with_0.update(m for m in _all_features(words, only) if m in with_1)
     scored = []
     for mark, a in with_1.items():
         b = with_0.get(mark, 0)
@@ -94,16 +125,19 @@ def _choose(rows: list[set[bytes]], y: np.ndarray, least_g2: float = 24.0) -> li
 
 def fit(texts: list[bytes], y: np.ndarray, prior: float, folds: int = 4) -> Chain:
     """Fit the chain on labelled texts; prior is the share of toxic rows in the corpus's labels."""
+    if not len(y) or not 0 < y.sum() < len(y):  # nothing to tell apart: nothing is rejected
+        k = len(CATEGORIES)
+        return Chain({}, np.zeros((k, 0)), np.zeros((k, k)), np.full(k, -7.0))
     rows = [_words(t) for t in texts]
-    chosen = _choose(rows, y) if len(y) and 0 < y.sum() < len(y) else []
+    chosen = _choose(rows, y)
     vocabulary = {m: i for i, m in enumerate(chosen)}
-    memo: dict[bytes, tuple[int, ...]] = {}
-    lists = [sorted(_features(t, memo, vocabulary)) for t in texts]
+    memo, marks = {}, {_base(m) for m in chosen}
+    lists = [sorted(_features(r, memo, vocabulary, marks)) for r in rows]
     x = Sparse.of(lists, len(vocabulary))
-    whole = np.array([not m.endswith(b"*") for m in chosen], bool)
+    whole = np.array([b"*" not in m for m in chosen], bool)
     n_whole = np.array([sum(whole[i] for i in r) for r in lists])
     n_begin = np.array([len(r) for r in lists]) - n_whole
-    targets = [y * (n_whole > 0), y * ((n_begin > 0) & (n_whole == 0)), y * (n_whole + n_begin >= 6), y]
+    targets = [y * (n_whole > 0), y * ((n_begin > 0) & (n_whole == 0)), y * (n_whole + n_begin >= 12), y]
     k, c_n = len(vocabulary), len(targets)
     weights, links, bias = np.zeros((c_n, k)), np.zeros((c_n, c_n)), np.zeros(c_n)
     fold = np.arange(len(texts)) % folds
@@ -116,14 +150,14 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, folds: int = 4) -> Chai
             held[test, c] = sigmoid(x.take(test).dot(w) + held[test, :c] @ v + b)
         w, v, b = fit_logistic(x, held[:, :c], t, l2=1e-4)
         weights[c], links[c, :c], bias[c] = w, v, b
-    if len(y) and 0 < y.sum() < len(y):  # the sample's share of toxic rows is not the corpus's
-        bias[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
+    # the sample's share of toxic rows is not the corpus's
+    bias[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
     return Chain(vocabulary, weights, links, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Chain:
     """Fit on at most MAX_ROWS_PER_LABEL labelled rows of each label, taken in the order of a hash of
-    their ids. Rows with a null id or label are not used. Without rows of both labels the chain is constant."""
+    their ids. Rows with a null id or label are not used. Without rows of both labels nothing is rejected."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
     n0, n1 = (known.agg(F.count_if(F.col("y") == v)).first()[0] for v in (0, 1))
     order = F.xxhash64("doc_id")
@@ -131,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Chain
     # at most 2 * MAX_ROWS_PER_LABEL ids: their size is bounded, so they can be broadcast
     picked = docs.select("doc_id", "text").join(F.broadcast(some.groupBy("doc_id").agg(F.max("y").alias("y"))), "doc_id")
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:  # only different words travel
-        words = [b" ".join(sorted(_words(t))) for t in common.text_or_empty(batch.column(1))]
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:  # the bounded sample's words
+        words = [b" ".join(t.lower().split()) for t in common.text_or_empty(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], ["doc_id", "words", "y"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -152,11 +186,14 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     added = [f"p_{c}" for c in CATEGORIES]
     kept = [c for c in docs.columns if c not in (*added, "rejected")]
-    memo: dict[bytes, tuple[int, ...]] = {}
+    memo: dict[bytes, tuple[bytes, ...]] = {}
+    marks: set[bytes] = set()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         chain = sent.value
-        lists = [list(_features(t, memo, chain.vocabulary)) for t in common.text_or_empty(batch.column("text"))]
+        if not marks:
+            marks.update(_base(m) for m in chain.vocabulary)
+        lists = [list(_features(_words(t), memo, chain.vocabulary, marks)) for t in common.text_or_empty(batch.column("text"))]
         p = chain.predict(lists)
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, c]) for c in range(p.shape[1])]], [*kept, *added])
 
