@@ -229,7 +229,8 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, percent: int) -> Data
     has the set), set_id, key, grp (loose group), size (of the group)."""
     total = members.count()
     bins = max(1, -(-total // BIN))
-    texts = docs.select("doc_id", "text").join(members.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set_id", "key", "grp", "size")
+    # both sides grow with the data: always a merge join, never a broadcast one on small inputs only
+    texts = docs.select("doc_id", "text").join(members.withColumnRenamed("doc_id", "__id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set_id", "key", "grp", "size")
     names = ["bin", "one", "other", "grp", "key", "side", "values"]
 
     def load(batches):
@@ -306,7 +307,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """The rows of docs without near copies: one row per group, that of the smallest doc_id. Rows with a null
     doc_id can't be named by a group, so they stay unless their text is repeated among them."""
     kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.union(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
