@@ -128,7 +128,8 @@ def redact_live(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc
     keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     live = scan(keyed, "__key", "text", owner_col, repo_col, max_owners).where(F.exists("spans", lambda s: s["live"]))
     live = live.select(F.col("id.doc_id").alias("__doc"), F.col("id.h").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__h"])
-    both = docs.withColumn("__hash", F.xxhash64("text")).join(live, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__h")), "left")
+    # live secrets grow with the data: always a merge join
+    both = docs.withColumn("__hash", F.xxhash64("text")).join(live.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__h")), "left")
     cut = both.withColumn("__new", F.when(F.col("__spans").isNotNull(), redact(F.col("text"), F.col("__spans"))))
     changed = {"text": F.coalesce("__new", "text")} | ({"n_chars": F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
