@@ -23,7 +23,7 @@ THRESHOLD = 0.9
 #: Bounds of what is fitted on the driver and broadcast: sampled vectors, cells, codes per sub-space.
 MAX_SAMPLE, MAX_CELLS, CODES = 20_000, 4096, 256
 #: Sub-space width, and how far a probe looks, in standard deviations of a neighbour's displacement.
-SUB, REACH = 4, 3.0
+SUB, REACH = 4, 2.5
 #: Members and queries of a cell that one task compares.
 BLOCK = 4096
 
