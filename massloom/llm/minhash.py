@@ -5,11 +5,12 @@ A document is its set of word shingles, each hashed once to 64 bits; equal sets
     value, and so puts every value into a frequency tier, the same for all documents: tier 0 is below what the
     sketch can tell apart, each further tier doubles.
  2. Of the values in the order (tier, hash), two sets of the asked similarity must share one of the first few (a fifth of
-    the set at 0.8). Of these a class retains the bottom PER_TIER hashes of each tier; in some tier
-    four fifths or more of the values are shared, so a pair has no retained value in common with a chance below
-    0.2 ** PER_TIER. Inverted lists of retained values give the pairs whose sketches overlap.
+    the set at 0.8). Of these a class retains the bottom PER_TIER hashes of each tier, and inverted lists of them
+    give the first pairs: short lists in full, long ones by their leader and neighbours.
  3. The smallest SKETCH hashes of both sets of a pair, merged, estimate the Jaccard similarity; pairs well
-    below the threshold are dropped. What is left ties classes into loose groups.
+    below the threshold are dropped. What is left ties classes into loose groups. Then the lists of all first
+    values, of any length, are compared in full wherever they hold more than one loose group, block by block,
+    so no pair is left out by its values' frequency; the work grows with the square of a list of unlike sets.
  4. Inside a loose group full sets are compared exactly, block by block; a task returns a spanning forest
     of the links it found. Components of the forests are the groups of near copies.
 The estimate's filter is set far below the threshold (six standard deviations at its size of sketch).
@@ -31,7 +32,7 @@ SHINGLE, PERCENT = 5, 80
 SKETCH = 64
 #: Pairs estimated below this are not tied together (loose on purpose: groups are compared exactly).
 LOOSE = 0.5
-#: Retained values per tier; lists up to SHORT are compared in full, longer ones through their leader and neighbours.
+#: For the first pairs: retained values per tier; lists up to SHORT are compared in full, longer ones through their leader and neighbours.
 PER_TIER, SHORT = 12, 64
 #: Members of a frequent value that meet in one list; sizes of compared blocks and of bins of small groups.
 LIST, BLOCK, BIN = 4096, 1024, 2048
@@ -138,9 +139,16 @@ def retained(values: np.ndarray, tier: np.ndarray, floor: int, set_hash: int, pe
     return np.array(out, np.uint64).astype(np.int64).tolist()
 
 
+def prefix(values: np.ndarray, tier: np.ndarray, percent: int) -> np.ndarray:
+    """The first values of a set in the order (tier, hash), in that order, all of them: two sets of the asked similarity
+    share one, whatever their tiers."""
+    n = len(values)
+    return values[np.argsort(tier, kind="stable")[: n - (-(-percent * n // 100)) + 1]]
+
+
 def _sketches(docs: DataFrame, n: int, percent: int, tiers) -> DataFrame:
-    """(set_id, n, keys, sketch) of each different set."""
-    names = ["set_id", "n", "keys", "sketch"]
+    """(set_id, n, keys, prefix, sketch) of each different set."""
+    names = ["set_id", "n", "keys", "prefix", "sketch"]
 
     def run(batches):
         seen: set[bytes] = set()
@@ -154,11 +162,12 @@ def _sketches(docs: DataFrame, n: int, percent: int, tiers) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(sid)
                     by, floor = tiers.value
-                    keys = retained(s, by[_place(s, len(by))], floor, int.from_bytes(sid[:8], "little"), percent)
-                    rows.append((sid, len(s), keys, s[:SKETCH].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names)
+                    tier = by[_place(s, len(by))]
+                    keys = retained(s, tier, floor, int.from_bytes(sid[:8], "little"), percent)
+                    rows.append((sid, len(s), keys, prefix(s, tier, percent).astype(np.int64), s[:SKETCH].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names)
 
-    return docs.select("text").mapInArrow(run, "set_id binary, n long, keys array<long>, sketch binary")
+    return docs.select("text").mapInArrow(run, "set_id binary, n long, keys array<long>, prefix array<long>, sketch binary")
 
 
 def _pairs(sketches: DataFrame, percent: int) -> DataFrame:
@@ -194,6 +203,75 @@ def _tied(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return common.map_arrow(both, kernel, "a long, b long", 8192)
 
 
+def cross_forest(keys, parts, n, pos, home, side, sketches: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
+    """Links (key, key) that tie the parts of one list: every two members of different parts are compared by their
+    sketches, but for those whose sizes or places (pos) of the list's value rule the asked similarity out. Pairs of two
+    guests (not home) meet in another list, with cross only pairs of different sides meet here. The first value that
+    two sets share is at most as far from both ends as their common values are many."""
+    k = len(keys)
+    size = np.array([len(s) for s in sketches], np.int64)
+    values, ids = np.unique(np.concatenate(sketches), return_inverse=True)
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    owner = np.repeat(np.arange(k), size)
+    names, part = np.unique(parts, return_inverse=True)
+    rank = np.where(part == np.bincount(part).argmax(), k, np.arange(k))  # members of the largest part are only looked at
+    forest, out, mark = common.Union(len(names)), [], np.zeros(len(values), bool)
+    for i in np.flatnonzero(rank < k).tolist():
+        after = (rank > i) & (part != part[i]) & (home | home[i]) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+        after &= np.minimum(n - pos, n[i] - pos[i]) * (100 + percent) >= percent * (n + n[i])
+        if cross:
+            after &= side != side[i]
+        if not after.any():
+            continue
+        mine = ids[first[i] : first[i] + size[i]]
+        mark[mine] = True
+        both = np.bincount(owner[mark[ids]], minlength=k)
+        mark[mine] = False
+        after &= both >= LOOSE * np.where(np.maximum(size, size[i]) >= SKETCH, SKETCH, size + size[i] - both)
+        for j in np.flatnonzero(after).tolist():
+            if forest.root(part[i]) != forest.root(part[j]) and estimate(sketches[i], sketches[j]) >= LOOSE:
+                forest.join(int(part[i]), int(part[j]))
+                out.append((int(keys[i]), int(keys[j])))
+    return out
+
+
+def _across(sketches: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(a, b) ties between sets of different components of tied: the lists of all values of all prefixes are compared
+    in full, where they hold more than one component. Lists are split by size (a set is at home in its class and a guest
+    in the next, so all that can be alike meet) and long ones go block against block."""
+    whole = sketches.join(tied.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("part"), "prefix")
+    posted = whole.select("key", F.col("n").cast("int").alias("n"), "part", F.posexplode("prefix").alias("pos", "v")).repartition("v")
+    mixed = posted.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("v")
+    kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.0001))).cast("int")
+    ends = F.array(F.struct(kind.alias("kind"), F.lit(True).alias("home")), F.struct((kind + 1).alias("kind"), F.lit(False).alias("home")))
+    rows = posted.join(mixed.hint("merge"), "v").select("key", "n", "part", "pos", "v", F.explode(ends).alias("e")).select("key", "n", "part", "pos", "v", "e.kind", "e.home")
+    rows = common.materialize(rows)
+    lists = rows.groupBy("v", "kind").agg(F.count("*").alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("home").alias("any"))
+    lists = lists.where("lo < hi and any").select("v", "kind", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(lists.hint("merge"), ["v", "kind"]).withColumn("mine", F.pmod(F.xxhash64("key", "v"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bins = max(1, -(-rows.count() // BIN))
+    small = F.col("blocks") == 1
+    name = F.xxhash64("v", "kind")
+    rows = rows.select("key", "n", "part", "pos", "home", name.alias("list"), F.when(small, F.pmod(name, F.lit(bins))).otherwise(name).alias("bin"),
+        F.when(small, -1).otherwise(F.least("mine", "o")).alias("one"), F.when(small, -1).otherwise(F.greatest("mine", "o")).alias("other"), (F.col("mine") > F.col("o")).alias("side"))
+    rows = rows.join(sketches.select("key", "sketch").hint("merge"), "key")
+
+    def compare(table: pa.Table) -> pa.Table:
+        cross = table.column("one")[0].as_py() != table.column("other")[0].as_py()
+        col = {c: table.column(c).to_numpy() for c in ("key", "part", "n", "pos", "home", "side", "list")}
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        order = np.argsort(col["list"], kind="stable")
+        out = []
+        for own in np.split(order, np.flatnonzero(np.diff(col["list"][order])) + 1):
+            if len(own) > 1:
+                n, pos = col["n"][own].astype(np.int64), col["pos"][own].astype(np.int64)
+                out += cross_forest(col["key"][own], col["part"][own], n, pos, col["home"][own].astype(bool), col["side"][own].astype(bool), [sets[i] for i in own], percent, cross)
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return rows.groupBy("bin", "one", "other").applyInArrow(compare, "a long, b long").distinct()
+
+
 def link_forest(keys: list[int], sets: list[np.ndarray], percent: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest (key, root key) of all pairs with 100 * |x & y| >= percent * |x | y|, on full sets.
 
@@ -285,6 +363,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sketches = common.materialize(sketches.withColumn("key", F.monotonically_increasing_id()))
     tied = common.components(_tied(_pairs(sketches, percent), sketches))
     tied = common.materialize(tied)
+    more = common.materialize(_across(sketches, tied, percent))
+    if not more.isEmpty():
+        tied = common.materialize(common.components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
     members = sketches.select("set_id", "key").join(tied.withColumnRenamed("node", "key"), "key").join(sizes, "component")
     names = every.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
