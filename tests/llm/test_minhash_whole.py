@@ -33,3 +33,14 @@ def test_long_lists_of_common_words(spark):
     want = _groups(texts, 2)
     assert len(set(want)) < 740
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_containment_over_tiers(spark):
+    """Copies of one base with 30 own shingles each, and each of them with 180 more behind it: 0.82 alike to that one
+    only, which shares its rare values but not the first of them."""
+    base, texts = [f"b{i}" for i in range(794)], []
+    for i in range(45):
+        texts.append(" ".join([*base, *[f"c{i}_{j}" for j in range(30)]]))
+    texts += [f"{t} " + " ".join(f"d{i}_{j}" for j in range(180)) for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert {r.component_id for r in got} == {0}
