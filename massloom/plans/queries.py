@@ -307,9 +307,7 @@ SELECT round(session, 10) AS session, count(*) AS n, round(median(mz), 10) AS gr
 def centroid_grid(spark, d):
     f = D.features(spark, d)
     grid = A.centroid_grid(f.select((F.col("id") % 5).alias("sample_id"), F.col("id").alias("track_id"), "mz"))
-    wide = grid.groupBy("session").agg((F.max("mz") - F.min("mz") >= 2 * 5 * 1e-6 * F.min("mz")).alias("wide"))
-    narrow = grid.join(wide.where("not wide"), "session").where("part = 0")
-    return narrow.groupBy("session", "grid_mz").agg(F.count("*").alias("n")).select(_r("session", 10).alias("session"), "n", _r("grid_mz", 10).alias("grid_mz"))
+    return grid.groupBy("session", "part", "grid_mz").agg(F.count("*").alias("n")).select(_r("session", 10).alias("session"), "n", _r("grid_mz", 10).alias("grid_mz"))
 
 
 @query("""WITH g AS (SELECT user_id, event_id, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w > 86400 THEN 1 ELSE 0 END AS c, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts), event_id))
