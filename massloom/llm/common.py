@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and Python form of the word pattern; bytes.split() splits at the same characters.
@@ -20,10 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, dots and ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def unused(df: DataFrame, name: str, others: Iterable[str] = ()) -> str:
+    """A helper column's name that df (heedless of case) and others don't have."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where none is set (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; where it is unset, a temporary one in local mode
+    (tests), and an error on a cluster, whose machines don't share such a folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="massloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -51,7 +72,7 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit integers."""
+    """A bijective finaliser of 64-bit integers, in an array."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

@@ -137,10 +137,10 @@ def test_forest_across_blocks_and_estimates():
     assert minhash.link_forest([10, 20, 30, 40], sets, 80, np.array([False, False, True, True])) == []
     assert minhash.estimate(a[: minhash.SKETCH], a[: minhash.SKETCH]) == 1.0
     tier = np.zeros(len(a), np.uint8)
-    assert len(minhash.retained(a, tier, 2, 5, 80)) == minhash.PER_TIER
-    assert len(minhash.retained(a[:3], tier[:3], 2, 5, 80)) == 1
-    far = minhash.retained(a, tier + 20, 2, 5, 80)  # very frequent: dealt to bounded lists
-    assert len(far) >= minhash.PER_TIER and not set(far) & set(a.astype(np.int64).tolist())
+    assert len(minhash.retained(a, tier, 80)) == 101 and len(minhash.retained(a[:4], tier[:4], 80)) == 1
+    assert not len(minhash.retained(a[:3], tier[:3], 80))  # no other set is like three values by 0.8
+    tier[::2] = 3
+    assert minhash.retained(a, tier, 80).tolist() == list(range(1, 203, 2))
 
 
 def test_components(spark):
