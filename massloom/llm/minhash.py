@@ -468,13 +468,14 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """The rows of docs without near copies, with their own columns, whatever their names: one row per group, that of the
     smallest doc_id (a null one only where there is no other; among equal ids that of the smallest hash of the text).
     Rows without words (null and empty texts) are copies of nothing and stay, all of them."""
-    rid = common.unused(docs, "rid")
+    rid, name = common.unused(docs, "rid"), common.unused(docs, "first_id")
     grouped = _grouped(docs, shingle, percent).where("label is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    kept = grouped.groupBy("label").agg(first).select(F.col("first.rid").alias(rid))
+    kept = grouped.groupBy("label").agg(first).select(F.col("first.rid").alias(rid), F.col("first.doc_id").alias(name))
     worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
     own = common.columns(docs)
-    named = docs.where(worded).withColumn(rid, _row()).join(kept.hint("merge"), rid).dropDuplicates([rid]).select(*own)
+    named = docs.where(worded).withColumn(rid, _row()).join(kept.hint("merge"), rid).where(F.col("doc_id").eqNullSafe(F.col(name)))
+    named = named.dropDuplicates([rid, name]).select(*own)
     return named.union(docs.where(~worded).select(*own))
 
 

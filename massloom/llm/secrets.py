@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
-Patterns give candidate spans; each candidate's value is hashed and the distinct repositories and
-owners that hold it are counted over the whole corpus. Values that many owners share are copied
-examples; values of few owners look live. The ownership verdict labels every span and decides
-which of the looser `token` candidates become spans; spans of the base patterns always stay.
+Patterns give candidate spans; each candidate's value is hashed where it is found, so no value in plain
+leaves its row, and the distinct repositories and owners that hold a hash are counted over the whole corpus.
+Values that many owners or very many repositories share are copied examples; values of few owners look
+live. The ownership verdict labels every span and decides which of the looser `token` candidates become
+spans; spans of the base patterns always stay.
 """
 
 from __future__ import annotations
@@ -44,68 +45,84 @@ KINDS = (
     Kind("token", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 0, 24, ("[A-Z]", "[a-z]", "[0-9]"), base=False),
 )
 
-#: A value held by more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value held by more owners, or in more repositories, than this is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 50
+#: Hashes that hold more than this share of all candidates are joined by broadcast: there are at most HEAVY of them.
+HEAVY = 10_000
+_CANDIDATE = "array<struct<kind:int,nth:int,gap:bigint,size:bigint,fits:boolean,hash:string>>"
 
 
 def _found(text: Column, order: int, kind: Kind) -> Column:
-    """Array of (kind, nth, gap, found, value) for all leftmost non-overlapping matches: the gaps
+    """Array of (kind, nth, gap, size, fits, hash) for all leftmost non-overlapping matches: the gaps
     between the matches, from which the starts are summed later, come from splitting by the pattern."""
     pieces = F.arrays_zip(
         F.split(text, kind.find, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(kind.find), F.lit(0)).alias("found"),
         F.regexp_extract_all(text, F.lit(kind.find), F.lit(kind.value)).alias("value"),
     )
-    rows = F.transform(pieces, lambda x, i: F.struct(F.lit(order).alias("kind"), i.alias("nth"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["found"]).cast("long").alias("size"), x["value"].alias("value")))
-    return F.when(text.rlike(kind.find), F.filter(rows, lambda x: x["value"].isNotNull()))
+
+    def row(x: Column, i: Column) -> Column:
+        fits = F.length(x["value"]) >= kind.least
+        for need in kind.needs:
+            fits = fits & x["value"].rlike(need)
+        return F.struct(
+            F.lit(order).alias("kind"), i.alias("nth"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["found"]).cast("long").alias("size"),
+            fits.alias("fits"), F.when(fits, F.sha2(x["value"].cast("binary"), 256)).alias("hash"),
+        )
+
+    return F.when(text.rlike(kind.find), F.filter(F.transform(pieces, row), lambda x: x["fits"].isNotNull()))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """(rid, id, owner, repo, kind, start, end, value), one row per candidate and one with a null kind for
+    """(rid, id, owner, repo, kind, start, end, hash), one row per candidate and one with a null kind for
     each document without any. Offsets are code points. Written to the shared folder."""
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), F.col(text_col).alias("text"))
-    empty = F.lit([]).cast("array<struct<kind:int,nth:int,gap:bigint,size:bigint,value:string>>")
-    all_kinds = F.concat(*[F.coalesce(_found(F.col("text"), k, kind), empty) for k, kind in enumerate(KINDS)])
+    own = {"id": id_col, "owner": owner_col, "repo": repo_col, "text": text_col}
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(common.quoted(c)).alias(n) for n, c in own.items()])
+    all_kinds = F.concat(*[F.coalesce(_found(F.col("text"), k, kind), F.lit([]).cast(_CANDIDATE)) for k, kind in enumerate(KINDS)])
     rows = base.select("rid", "id", "owner", "repo", F.explode_outer(all_kinds).alias("x")).select("rid", "id", "owner", "repo", "x.*")
     so_far = Window.partitionBy("rid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
-    fits = F.lit(True)
-    for k, kind in enumerate(KINDS):
-        good = F.length("value") >= kind.least
-        for need in kind.needs:
-            good = good & F.col("value").rlike(need)
-        fits = F.when(F.col("kind") == k, good).otherwise(fits)
-    none = ~F.coalesce(fits, F.lit(True))
-    ends = ends.select("rid", "id", "owner", "repo", *[F.when(~none, F.col(c)).alias(c) for c in ("kind", "start", "end", "value")])
-    return common.materialize(ends)
+    return common.materialize(ends.select("rid", "id", "owner", "repo", *[F.when(F.col("fits"), F.col(c)).alias(c) for c in ("kind", "start", "end", "hash")]))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_repos, n_owners): exact distinct counts per value. Counted in steps that combine
+    """(hash, n, n_repos, n_owners): rows and exact distinct counts per hash. Counted in steps that combine
     on the map side, so a value in a third of all rows is no hot task."""
-    held = found.where("value is not null")
-    by_repo = held.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    owners = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"))
-    repos = by_repo.groupBy("value", "repo").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("n_repos"))
-    return owners.join(repos, "value")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: id and spans, an array of (start, kind, end, value, n_owners, n_repos, live)
+    held = found.where("hash is not null")
+    by_repo = held.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.sum("n").alias("n"))
+    owners = by_owner.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("n_owners"))
+    repos = by_repo.groupBy("hash", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repos"))
+    return owners.join(repos.hint("merge"), "hash")
+
+
+def _with_counts(found: DataFrame) -> DataFrame:
+    """Candidates with n_owners and n_repos of their hash. Hashes of more than 1 / HEAVY of the rows are at most HEAVY, so
+    they are broadcast; the others meet by merge, and no task gets more than that share of one of them."""
+    held, counts = found.where("kind is not null"), common.materialize(ownership(found))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.where(F.col("n") > max(1000, total // HEAVY)).select("hash", "n_owners", "n_repos"))
+    light = counts.where(F.col("n") <= max(1000, total // HEAVY)).select("hash", "n_owners", "n_repos")
+    hot = held.join(heavy, "hash")
+    cold = held.join(heavy.select("hash"), "hash", "left_anti").join(light.hint("merge"), "hash")
+    return hot.unionByName(cold)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row per document: id and spans, an array of (start, kind, end, hash, n_owners, n_repos, live)
     sorted by start, then kind as listed in KINDS.
 
     Null and empty texts have no spans; repeated rows are scanned and returned each; a null owner
-    counts as one owner of its own; other columns are ignored; an empty table gives no rows.
+    counts as one owner of its own, and a null repository as one; other columns are ignored; an empty table gives no rows.
     """
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
-    with_value = found.where("kind is not null").join(ownership(found), "value", "left")
-    live = F.col("n_owners") <= max_owners
+    with_counts = _with_counts(found)
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     base = F.lit(False)
     for k, kind in enumerate(KINDS):
         base = base | (F.lit(kind.base) & (F.col("kind") == k))
-    span = F.when(base | live, F.struct("start", "kind", "end", "value", "n_owners", "n_repos", live.alias("live")))
-    spans = with_value.select("rid", "id", span.alias("span"))
+    span = F.when(base | live, F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", live.alias("live")))
+    spans = with_counts.select("rid", "id", span.alias("span"))
     rest = found.where("kind is null").select("rid", "id", F.lit(None).cast(spans.schema["span"].dataType).alias("span"))
     return spans.union(rest).groupBy("rid").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("span")).alias("spans")).drop("rid")
 
@@ -122,17 +139,21 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.exists(spans, lambda s: s["live"]), F.concat(F.array_join(step["out"], ""), F.substring(text, (step["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
 
 
-def redact_live(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with its own columns and all its rows, live secrets cut out of text; n_chars, where docs has it, is
-    the new length of changed texts. Rows are found again by doc_id and the text's hash, never by position."""
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    live = scan(keyed, "__key", "text", owner_col, repo_col, max_owners).where(F.exists("spans", lambda s: s["live"]))
-    live = live.select(F.col("id.doc_id").alias("__doc"), F.col("id.h").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__h"])
+def redact_live(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """docs with its own columns, whatever their names, and all its rows, live secrets cut out of text; n_chars, where docs has
+    it, is the new length of changed texts. Rows are found again by doc_id and the text's hash, never by position.
+    Null and empty texts stay as they are; repeated rows are cut alike; an empty table gives no rows."""
+    key, doc, text_hash, hash_, spans = (common.unused(docs, n) for n in ("row_key", "span_doc", "span_text_hash", "text_hash", "live_spans"))
+    keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("h")))
+    live = scan(keyed, key, "text", owner_col, repo_col, max_owners, max_repos).where(F.exists("spans", lambda s: s["live"]))
+    live = live.select(F.col("id.doc_id").alias(doc), F.col("id.h").alias(text_hash), F.col("spans").alias(spans)).dropDuplicates([doc, text_hash])
     # live secrets grow with the data: always a merge join
-    both = docs.withColumn("__hash", F.xxhash64("text")).join(live.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__h")), "left")
-    cut = both.withColumn("__new", F.when(F.col("__spans").isNotNull(), redact(F.col("text"), F.col("__spans"))))
-    changed = {"text": F.coalesce("__new", "text")} | ({"n_chars": F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    both = docs.withColumn(hash_, F.xxhash64("text")).join(live.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(hash_) == F.col(text_hash)), "left")
+    new = F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans)))
+    changed = {"text": F.coalesce(new, "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(spans).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return both.select(*[changed.get(c, F.col(common.quoted(c))).alias(c) for c in docs.columns])
 
 
 def _names(kind: Column) -> Column:
@@ -148,7 +169,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners are sources, repositories are documents."""
+    """Owners are sources, repositories are documents. Nulls, empty texts, ties and repeated rows as in scan."""
     spans = scan(common.table(spark, sf_dir, "documents"))
     n_base = sum(k.base for k in KINDS)
     count = lambda f: F.size(F.filter("spans", f)).cast("long")
@@ -177,9 +198,10 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, ''
 m AS ({each}),
 p AS (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY rid, kind ORDER BY nth) AS e FROM m WHERE found IS NOT NULL),
 q AS (SELECT rid, kind, value, (e - length(found))::BIGINT AS s, e::BIGINT AS e FROM p WHERE {fits}),
-o AS (SELECT value, count(DISTINCT source) + max((source IS NULL)::INT) AS n_owners FROM q JOIN d USING (rid) GROUP BY value),
-z AS (SELECT rid, kind, s, e, n_owners <= {MAX_OWNERS} AS live, {name} AS span FROM q JOIN o USING (value)
-      WHERE kind < {n_base} OR n_owners <= {MAX_OWNERS}),
+o AS (SELECT value, count(DISTINCT source) + max((source IS NULL)::INT) AS n_owners, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS n_repos
+      FROM q JOIN d USING (rid) GROUP BY value),
+y AS (SELECT *, n_owners <= {MAX_OWNERS} AND n_repos <= {MAX_REPOS} AS live FROM q JOIN o USING (value)),
+z AS (SELECT rid, kind, s, e, live, {name} AS span FROM y WHERE kind < {n_base} OR live),
 g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{KINDS[k].name}" for k in range(n_base))},
        coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < {n_base}), '') AS base,
        string_agg(span, ',' ORDER BY s, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
