@@ -3,8 +3,10 @@
 A transcript is a sequence of lines. States are the roles, each once for the first line of a turn and
 once for its further lines. A line is observed through its speaker marker (a name and a colon, a
 chat tag, or the role that a row of a conversation table gives) and a few features of the line itself.
-Transition and emission weights are fixed priors with the line features' emissions estimated over the
-whole corpus; Viterbi gives the roles, and turns are rendered in one canonical form.
+A role that a table's row names binds: only its states are left to that row. Transition and marker weights are
+fixed priors, the line features' emissions are estimated over the whole corpus and mixed with a uniform one, so that
+no line outweighs a marker however large the corpus is; Viterbi gives the roles, and turns are rendered in
+one canonical form.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ NAMES = {
     "tool": ("tool", "function", "observation", "result"),
 }
 _ROLE_OF = {n: r for r, names in enumerate(NAMES.values()) for n in names}
-_TAG = re.compile(r"\s*(?:<\|(?:im_start\|>)?\s*(\w+)\|?>?|\[(\w+)\]|###?\s*(\w+)\s*:?|\*{0,2}(\w+)\*{0,2}\s*:)\s*")
+_TAG = re.compile(r"[ \t\r\v\f]*(?:<\|(?:im_start\|>)?[ \t]*(\w+)\|?>?|\[(\w+)\]|###?[ \t]*(\w+)[ \t]*:?|\*{0,2}(\w+)\*{0,2}[ \t]*:)[ \t\r\v\f]*")
 #: Features of a line, as one small number: ends with a question mark, short, long, starts with a list sign.
 N_FEATURES = 16
 NO_MARKER = len(ROLES)
@@ -61,23 +63,25 @@ def _log(x) -> np.ndarray:
 START = _log([0.4, 0.5, 0.08, 0.02])
 #: Role of the next turn given this one's.
 NEXT = _log([[0.02, 0.9, 0.07, 0.01], [0.02, 0.06, 0.87, 0.05], [0.02, 0.85, 0.05, 0.08], [0.01, 0.07, 0.9, 0.02]])
-#: A marker is right with this weight; a line without one rarely opens a turn.
-MARKED, CONTINUED, OPENED_BARE = np.log(0.97), np.log(0.98), np.log(0.05)
+#: A marker is right, or wrong, with these weights; a line without one rarely opens a turn.
+MARKED, MISMARKED, CONTINUED, OPENED_BARE, MARKED_ON = np.log(0.9999), np.log(0.0001 / 3), np.log(0.98), np.log(0.05), np.log(0.001)
+#: Further lines of a turn resemble each other: their features count by this much.
+FURTHER = 0.25
 
 
 def viterbi(marks: np.ndarray, sure: np.ndarray, features: np.ndarray, opens: np.ndarray, closed: np.ndarray, emission: np.ndarray) -> np.ndarray:
     """States of all lines: role r opening a turn is r, going on is r + number of roles.
 
-    sure says that the mark comes from outside the text (a table's role column) and is all but certain.
+    sure says that the mark comes from outside the text (a table's role column) and binds.
     opens says that a turn starts on the line for certain (a row of a table); elsewhere a marker, or its
     lack, tells; a closed line opens no turn (a further line of a row whose role is named). emission: log probability of a line feature [role, feature].
     """
     k, n = len(ROLES), len(marks)
-    right, wrong = np.where(sure, np.log(0.9999), MARKED)[:, None], np.where(sure, np.log(1e-5), np.log(0.03 / (k - 1)))[:, None]
-    see = emission.T[features]  # [line, role]
+    right, wrong = np.where(sure, 0.0, MARKED)[:, None], np.where(sure, -1e9, MISMARKED)[:, None]
+    see = (emission - np.log(np.exp(emission).mean(0))).T[features]  # [line, role], beside what all roles show together
     open_ = np.where(marks[:, None] == NO_MARKER, np.where(opens[:, None], 0.0, OPENED_BARE), np.where(marks[:, None] == np.arange(k), right, wrong)) + see
     open_ = np.where(closed[:, None], -1e9, open_)
-    on = np.where(opens[:, None], -1e9, np.where(marks[:, None] == NO_MARKER, CONTINUED, np.log(0.02))) + see
+    on = np.where(opens[:, None], -1e9, np.where(marks[:, None] == NO_MARKER, CONTINUED, MARKED_ON)) + FURTHER * see
     best = np.r_[START + open_[0], np.full(k, -1e9)]
     back = np.zeros((n, 2 * k), np.int32)
     for i in range(1, n):
@@ -118,7 +122,7 @@ def recover(lines: list[str], given: list[int], opens: list[bool], emission: np.
 
 def emissions(conversations: DataFrame) -> np.ndarray:
     """Log probabilities [role, line feature] over all lines of rows whose role is named: counted in one
-    pass, a row per role, feature and task reaching the shuffle; smoothed, so that no table is a uniform one."""
+    pass, a row per role, feature and task reaching the shuffle; half of each is uniform, whatever the counts."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = np.zeros((len(ROLES), N_FEATURES), np.int64)
@@ -133,7 +137,7 @@ def emissions(conversations: DataFrame) -> np.ndarray:
     n = np.ones((len(ROLES), N_FEATURES))
     for r, f, c in common.map_arrow(conversations.select("role", "text"), count, "r long, f long, n long", 100_000).groupBy("r", "f").agg(F.sum("n")).collect():
         n[r, f] += c
-    return np.log(n / n.sum(1, keepdims=True))
+    return np.log(0.5 * n / n.sum(1, keepdims=True) + 0.5 / N_FEATURES)
 
 
 _OUT = "n_turns long, roles string, n_recovered long, rendered string"
@@ -193,13 +197,28 @@ def format_transcripts(transcripts: DataFrame, emission: np.ndarray | None = Non
     return common.map_arrow(transcripts.select("id", "text"), kernel, f"id {kind}, {_OUT}")
 
 
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """(id, text): each conversation as one raw transcript: its rows in order, each led by a marker where its role is a
+    known name, and by none elsewhere. Rows are ordered as in format_conversations; nulls are empty texts."""
+    known = F.lower(F.trim("x.role")).isin(*_ROLE_OF)
+    line = F.concat(F.when(known, F.concat(F.initcap(F.trim("x.role")), F.lit(": "))).otherwise(F.lit("")), F.coalesce("x.text", F.lit("")))
+    rows = conversations.select("conv_id", F.struct("turn", "role", "text").alias("x")).withColumn("line", line)
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("x", "line"))).alias("rows"))
+    return rows.select(F.col("conv_id").alias("id"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_conversations(common.table(spark, sf_dir, "conversations"))
+    """All conversations as raw transcripts, whose turns and roles the model recovers from markers and lines; the role
+    column only estimates the emissions. n_recovered counts the lines without a marker. Nulls, empty texts, ties and
+    repeated rows as in transcripts and format_transcripts."""
+    conversations = common.table(spark, sf_dir, "conversations")
+    out = format_transcripts(transcripts(conversations), emissions(conversations))
+    return out.withColumnRenamed("id", "conv_id")
 
 
-#: Where all rows name their roles (as in the tables), the rendering is plain SQL.
+#: Where every row names its role and no further line looks like a marker (as in the tables), the truth is plain SQL.
 ORACLE_SQL = r"""
-WITH t AS (SELECT conv_id, turn, role, trim(coalesce(text, ''), E' \t\n\r\x0b\x0c') AS text FROM conversations)
-SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role, ',' ORDER BY turn, role, text) AS roles, 0::BIGINT AS n_recovered,
+WITH t AS (SELECT conv_id, turn, role, trim(coalesce(text, ''), E' \t\n\r\x0b\x0c') AS text, len(string_split(coalesce(text, ''), chr(10))) - 1 AS further FROM conversations)
+SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role, ',' ORDER BY turn, role, text) AS roles, sum(further)::BIGINT AS n_recovered,
        string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
 FROM t GROUP BY conv_id"""
