@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from massloom.llm import chat, common, embedding_dedup, linear, minhash, mixing, packing, quality_classifier, quality_rules, registry, secrets, sharding, toxicity
 
@@ -156,10 +157,62 @@ def test_sharding(table, empty):
     assert all(v == list(range(len(v))) for v in by.values())
     assert sorted(map(str, (r.doc_id for r in out))) == sorted(map(str, (r[0] for r in table.select("doc_id").collect())))
     assert sharding.shuffle_into_shards(empty, 4).count() == 0
+    odd = table.select("doc_id", F.lit(1).alias("shard"), F.lit(2).alias("a.b"), F.lit(3).alias("__row"))
+    got = sharding.shuffle_into_shards(odd, 4)
+    assert got.columns == ["doc_id", "shard", "a.b", "__row", "_shard", "slot"] and {(r[1], r[2], r[3]) for r in got.collect()} == {(1, 2, 3)}
     m = sharding.communication_matrix(np.array([5, 0, 7]), np.array([4, 4, 4]), 3)
     assert m.sum(1).tolist() == [5, 0, 7] and m.sum(0).tolist() == [4, 4, 4]
 
 
+def _chi_square_limit(cells):
+    """About five standard deviations above the mean of a chi-square of that many cells."""
+    return cells - 1 + 5 * np.sqrt(2 * (cells - 1))
+
+
+@pytest.mark.parametrize("limit", [sharding.NUMPY_LIMIT, 0])
+def test_matrix_has_the_law_of_a_shuffle(monkeypatch, limit):
+    """All matrices of a small case against brute force over its permutations, with both samplers."""
+    from collections import Counter
+    from itertools import permutations
+
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", limit)
+    rows, sizes = np.array([3, 1, 3]), np.array([3, 2, 2])
+    shard, owner = np.repeat(np.arange(3), sizes), np.repeat(np.arange(3), rows)
+    law = Counter()
+    for p in permutations(range(7)):
+        m = np.zeros((3, 3), int)
+        np.add.at(m, (owner[list(p)], shard), 1)
+        law[m.tobytes()] += 1
+    n = 4000
+    got = Counter(sharding.communication_matrix(rows, sizes, seed).astype(int).tobytes() for seed in range(n))
+    assert set(got) <= set(law)
+    expected = {k: n * v / 5040 for k, v in law.items()}
+    assert sum((got[k] - e) ** 2 / e for k, e in expected.items()) < _chi_square_limit(len(law))
+
+
+def test_draws_from_large_urns():
+    """Inversion against numpy's sampler below its limit, and mean and spread far above it."""
+    draw = np.random.default_rng(8)
+    a = np.array([sharding._by_inversion(draw, 4000, 16000, 900) for _ in range(4000)])
+    b = draw.hypergeometric(4000, 16000, 900, 4000)
+    assert abs(a.mean() - b.mean()) < 5 * 12 / 44 and abs(a.std() / b.std() - 1) < 0.08
+    big = np.array([sharding._by_inversion(draw, 10**11, 15 * 10**11, 10**7) for _ in range(2000)])
+    sd = (10**7 / 16 * 15 / 16) ** 0.5
+    assert abs(big.mean() - 10**7 / 16) < 5 * sd / 44 and abs(big.std() / sd - 1) < 0.1
+    assert sharding._by_inversion(draw, 5, 10**10, 10**10 + 3) in range(3, 6)
+
+
+def test_shuffle_is_uniform(spark):
+    """Where one row goes, over seeds, is uniform over shards and slots."""
+    df = spark.createDataFrame([(i,) for i in range(12)], "i long").repartition(3).cache()
+    seen = np.zeros((12, 12), int)
+    for seed in range(40):
+        for r in sharding.shuffle_into_shards(df, 4, seed).collect():
+            seen[r.i, r.shard * 3 + r.slot] += 1
+    e = 40 / 12
+    assert ((seen - e) ** 2 / e).sum() < 121 + 5 * np.sqrt(2 * 121)
+
+
 def test_packing_round_trip(table, rows, empty):
     path = packing.production_tokenizer()
     out = packing.pack(table, path, with_ids=True, shard_bytes=100_000).collect()
@@ -294,14 +347,31 @@ def test_chat(spark, tmp_path):
     t = spark.createDataFrame([(1, "System: be nice\nHuman: hello\nhow are you?\nAI: fine\n- a\n### User: thanks\nbot: bye"), (2, None), (3, "")], "id long, text string")
     out = {r.id: r for r in chat.format_transcripts(t).collect()}
     assert out[1].roles == "system,user,assistant,user,assistant" and "hello\nhow are you?" in out[1].rendered and out[2].n_turns == out[3].n_turns == 0
+    raw = {r.id: r.text for r in chat.transcripts(more).collect()}
+    assert raw[3] == "Human: q\na\nBot: b" and raw[None] == "" and raw[2] == "System: s\nUser: \nAssistant: \nAssistant: "
+    assert chat.transcripts(more.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**9])
+def test_named_roles_bind_at_every_size(n):
+    """Assistants otherwise long and users short: a short assistant's row stays an assistant's."""
+    count = np.ones((len(chat.ROLES), chat.N_FEATURES))
+    count[2, chat.feature("x " * 50)] += n
+    count[1, chat.feature("hi")] += n
+    emission = np.log(0.5 * count / count.sum(1, keepdims=True) + 0.5 / chat.N_FEATURES)
+    assert chat._format([("assistant", "ok thanks"), ("user", "hi")], emission)[1] == "assistant,user"
+    assert chat._format([("user", "hi"), ("user", "hi"), ("tool", "x"), ("system", "y?")], emission)[1] == "user,user,tool,system"
+    turns = chat.recover(["Assistant: ok thanks", "fine", "User: hi", "x " * 50], [chat.NO_MARKER] * 4, [False] * 4, emission)
+    assert [chat.ROLES[r] for r, _ in turns] == ["assistant", "user"]
 
 
 def test_viterbi_is_the_best_path():
     from itertools import product
 
     lines, k = ["a", "user: b", "c?", "bot: d"], len(chat.ROLES)
-    e = np.full((k, chat.N_FEATURES), -np.log(chat.N_FEATURES))
+    e = np.log(np.random.default_rng(3).dirichlet(np.ones(chat.N_FEATURES), k))
     seen = [chat.marker(x) for x in lines]
+    seen_ = [e[:, chat.feature(t)] - np.log(np.exp(e[:, chat.feature(t)]).mean()) for _, t in seen]
     marks, no = np.array([m for m, _ in seen]), np.zeros(4, bool)
     path = chat.viterbi(marks, no, np.array([chat.feature(t) for _, t in seen]), no, no, e)
 
@@ -310,9 +380,9 @@ def test_viterbi_is_the_best_path():
         for i, s in enumerate(states):
             m = marks[i]
             if s < k:
-                total += (chat.START[s] if i == 0 else chat.NEXT[states[i - 1] % k, s]) + (chat.OPENED_BARE if m == k else chat.MARKED if m == s else np.log(0.03 / (k - 1)))
+                total += (chat.START[s] if i == 0 else chat.NEXT[states[i - 1] % k, s]) + (chat.OPENED_BARE if m == k else chat.MARKED if m == s else chat.MISMARKED) + seen_[i][s]
             else:
-                total += (-1e9 if i == 0 or states[i - 1] % k != s - k else 0) + (chat.CONTINUED if m == k else np.log(0.02))
+                total += (-1e9 if i == 0 or states[i - 1] % k != s - k else 0) + (chat.CONTINUED if m == k else chat.MARKED_ON) + chat.FURTHER * seen_[i][s - k]
         return total
 
     assert score(tuple(path)) == pytest.approx(max(map(score, product(range(2 * k), repeat=4))))
