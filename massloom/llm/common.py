@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java and Python form of the word pattern; bytes.split() splits at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,7 +93,7 @@ def hash_grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2048) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 2048) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows, so that few texts are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

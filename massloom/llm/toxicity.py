@@ -1,28 +1,34 @@
 """Toxicity by a classifier chain: categories are predicted in order, each linear model seeing the
 probabilities of the earlier ones; the later models are trained on out-of-fold probabilities.
 
-Features say that a word or a word beginning occurs, occurs often, or makes up much of the text, chosen on labelled rows. The labels only
-say toxic or not, so the categories before the last one are derived from them: `named` (a toxic row
-with whole words that mark toxicity), `coined` (with word beginnings that mark it over many
-different words), `dense` (with several marks); the last link is `toxic` itself.
+Features say that a word or a word beginning occurs, occurs often, or makes up much of the text, chosen on labelled
+rows, for out-of-fold probabilities on the other folds' rows alone; and how long the text is. The labels only say toxic or
+not, so the categories before the last one are kinds of toxic rows that the labels and the length give, not the
+features: `brief` and `extended` (by the number of words) and `shoddy` (labelled of low quality too); the last link is
+`toxic` itself.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .linear import Sparse, fit_logistic, sigmoid
 
-CATEGORIES = ("named", "coined", "dense", "toxic")
-#: Bound of the labelled sample: at most this many rows of each label.
-MAX_ROWS_PER_LABEL = 2000
+CATEGORIES = ("brief", "extended", "shoddy", "toxic")
+#: Words below which a text is brief; upper ends of the length features.
+BRIEF, LENGTHS = 150, (10, 30, 100, 300, 1000, 3000)
+#: Bound of the labelled sample: at most this many rows of each label, none of more bytes than that.
+MAX_ROWS_PER_LABEL, MAX_ROW_BYTES = 2000, 1 << 16
 #: Bound of the vocabulary.
 MAX_FEATURES = 4096
 #: Lengths, in bytes, of the word beginnings.
@@ -41,7 +47,7 @@ class Chain:
 
     def predict(self, lists: list) -> np.ndarray:
         """Probabilities [row, category] for rows given as lists of features."""
-        x = Sparse.of(lists, len(self.vocabulary))
+        x = Sparse.of(lists, self.weights.shape[1])
         out = np.zeros((len(lists), len(self.bias)))
         for c in range(len(self.bias)):
             out[:, c] = sigmoid(x.dot(self.weights[c]) + out[:, :c] @ self.links[c, :c] + self.bias[c])
@@ -60,8 +66,9 @@ def _marks(word: bytes) -> list[bytes]:
     return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
 
 
-def _levels(count: int, n: int) -> list[bytes]:
-    return [name for name, least, rate in LEVELS if count >= least and 1000 * count >= rate * n]
+def _length(n: int) -> bytes:
+    """The feature of a text's number of words; no word holds a space."""
+    return b" %d" % sum(n >= k for k in LENGTHS)
 
 
 def _features(words: Counter, memo: dict[bytes, tuple[bytes, ...]], vocabulary: dict[bytes, int], marks: set[bytes]) -> set[int]:
@@ -75,20 +82,57 @@ def _features(words: Counter, memo: dict[bytes, tuple[bytes, ...]], vocabulary:
                 memo[w] = got
         for m in got:
             counts[m] += n
-    if not counts:
-        return set()
     total = sum(words.values())
-    return {vocabulary[f] for m, c in counts.items() for level in _levels(c, total) if (f := m + level) in vocabulary}
+    names = [m + name for m, c in counts.items() for name, least, rate in LEVELS if c >= least and 1000 * c >= rate * total]
+    return {vocabulary[f] for f in (*names, _length(total)) if f in vocabulary}
 
 
-def _all_features(words: Counter, only: set[bytes] | None = None) -> set[bytes]:
-    counts: Counter = Counter()
-    for w, n in words.items():
-        for m in _marks(w):
-            if only is None or m in only:
-                counts[m] += n
-    total = sum(words.values())
-    return {m + level for m, c in counts.items() for level in _levels(c, total)}
+def _hashed(words: Counter) -> np.ndarray:
+    """All features of a text as sorted hashes, for choosing among very many."""
+    hash_ = xxhash.xxh3_64_intdigest
+    marks = [(hash_(m), n) for w, n in words.items() for m in _marks(w)]
+    if not marks:
+        return np.zeros(0, np.uint64)
+    ids, of = np.unique(np.array([m for m, _ in marks], np.uint64), return_inverse=True)
+    count, total = np.bincount(of, [n for _, n in marks]), sum(words.values())
+    held = [common.mix64(ids[(count >= least) & (1000 * count >= rate * total)] + np.uint64(k)) for k, (_, least, rate) in enumerate(LEVELS)]
+    return np.sort(np.concatenate(held))
+
+
+def _choose(rows: list[np.ndarray], y: np.ndarray, least_g2: float = 20.0) -> np.ndarray:
+    """Hashes of the features that mark toxic rows: by the likelihood ratio, far beyond chance; the best first."""
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64)
+    mark, a = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), return_counts=True)
+    mark, a = mark[a >= 6], a[a >= 6].astype(float)  # fewer can't be beyond chance
+    b = np.zeros(len(mark))
+    for r, t in zip(rows, y, strict=True):
+        if not t:
+            b += np.isin(mark, r, assume_unique=True)
+    e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
+    g2 = 2 * (a * np.log(a / np.maximum(e1, 1e-9)) + b * np.log(np.maximum(b, 1) / np.maximum(e0, 1e-9)))
+    fit = np.flatnonzero((a * n0 > 3 * b * n1) & (g2 >= least_g2))
+    return mark[fit[np.lexsort((mark[fit], -g2[fit]))][:MAX_FEATURES]]
+
+
+def _named(chosen: np.ndarray, rows: Iterable[Counter]) -> dict[bytes, int]:
+    """The chosen features by name, found again in the rows: a name's place is that of its hash."""
+    place = {int(h): i for i, h in enumerate(chosen)}
+    shift = [np.uint64(k) for k in range(len(LEVELS))]
+    out: dict[bytes, int] = {}
+    seen: set[bytes] = set()
+    for words in rows:
+        new = [m for w in words for m in _marks(w) if m not in seen]
+        seen.update(new)
+        ids = np.array([xxhash.xxh3_64_intdigest(m) for m in new], np.uint64)
+        for (name, _, _), k in zip(LEVELS, shift, strict=True):
+            hashed = common.mix64(ids + k)
+            for i in np.flatnonzero(np.isin(hashed, chosen)).tolist():
+                out[new[i] + name] = place[int(hashed[i])]
+        if len(seen) > 2_000_000:
+            seen.clear()
+    return out
 
 
 def _base(feature: bytes) -> bytes:
@@ -98,94 +142,86 @@ def _base(feature: bytes) -> bytes:
     return feature
 
 
-def _choose(rows: list[Counter], y: np.ndarray, least_g2: float = 20.0) -> list[bytes]:
-    """Features that mark toxic rows: by the likelihood ratio, far beyond chance."""
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    with_1, with_0 = Counter(), Counter()
-    for words, label in zip(rows, y, strict=True):
-        if label:
-            with_1.update(_all_features(words))
-    with_1 = Counter({m: a for m, a in with_1.items() if a >= 6})  # fewer can't be beyond chance
-    only = {_base(m) for m in with_1}
-    for words, label in zip(rows, y, strict=True):
-        if not label:
-            with_0.update(m for m in _all_features(words, only) if m in with_1)
-    scored = []
-    for mark, a in with_1.items():
-        b = with_0.get(mark, 0)
-        if a * n0 <= 3 * b * n1:
-            continue
-        e1 = (a + b) * n1 / (n1 + n0)
-        e0 = (a + b) * n0 / (n1 + n0)
-        g2 = 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0))
-        if g2 >= least_g2:
-            scored.append((-g2, mark))
-    return [m for _, m in sorted(scored)[:MAX_FEATURES]]
-
-
-def fit(texts: list[bytes], y: np.ndarray, prior: float, folds: int = 4) -> Chain:
-    """Fit the chain on labelled texts; prior is the share of toxic rows in the corpus's labels."""
+def fit(texts: list[bytes], y: np.ndarray, prior: float, shoddy: np.ndarray | None = None, folds: int = 4) -> Chain:
+    """Fit the chain on labelled texts; prior is the share of toxic rows in the corpus's labels, shoddy says which rows are
+    labelled of low quality."""
     if not len(y) or not 0 < y.sum() < len(y):  # nothing to tell apart: nothing is rejected
         k = len(CATEGORIES)
         return Chain({}, np.zeros((k, 0)), np.zeros((k, k)), np.full(k, -7.0))
     rows = [_words(t) for t in texts]
-    chosen = _choose(rows, y)
-    vocabulary = {m: i for i, m in enumerate(chosen)}
-    memo, marks = {}, {_base(m) for m in chosen}
-    lists = [sorted(_features(r, memo, vocabulary, marks)) for r in rows]
-    x = Sparse.of(lists, len(vocabulary))
-    whole = np.array([b"*" not in m for m in chosen], bool)
-    n_whole = np.array([sum(whole[i] for i in r) for r in lists])
-    n_begin = np.array([len(r) for r in lists]) - n_whole
-    targets = [y * (n_whole > 0), y * ((n_begin > 0) & (n_whole == 0)), y * (n_whole + n_begin >= 12), y]
-    k, c_n = len(vocabulary), len(targets)
-    weights, links, bias = np.zeros((c_n, k)), np.zeros((c_n, c_n)), np.zeros(c_n)
+    hashed = [_hashed(r) for r in rows]
+    size = np.array([sum(r.values()) for r in rows])
+    length = np.array([sum(n >= k for k in LENGTHS) for n in size.tolist()])
+    low = np.zeros(len(y), bool) if shoddy is None else shoddy.astype(bool)
+    targets = [y * (size < BRIEF), y * (size >= BRIEF), y * low, y]
+
+    def table(chosen: np.ndarray) -> Sparse:
+        order = np.argsort(chosen)
+        lists = []
+        for h, n in zip(hashed, length.tolist(), strict=True):
+            at = np.searchsorted(chosen[order], h) if len(chosen) else np.zeros(0, np.int64)
+            hit = at[chosen[order][np.minimum(at, len(chosen) - 1)] == h] if len(chosen) else at
+            lists.append([*order[hit].tolist(), len(chosen) + n])
+        return Sparse.of(lists, len(chosen) + len(LENGTHS) + 1)
+
     fold = np.arange(len(texts)) % folds
-    held = np.zeros((len(texts), c_n))  # out-of-fold probabilities
+    held = np.zeros((len(texts), len(targets)))  # out-of-fold probabilities
+    tables = [table(_choose([h for h, g in zip(hashed, fold, strict=True) if g != f], y[fold != f])) for f in range(folds)]
+    chosen = _choose(hashed, y)
+    x = table(chosen)
+    weights, links, bias = np.zeros((len(targets), x.shape[1])), np.zeros((len(targets), len(targets))), np.zeros(len(targets))
     for c, t in enumerate(targets):
         t = t.astype(float)
         for f in range(folds):
-            train, test = fold != f, fold == f
-            w, v, b = fit_logistic(x.take(train), held[train, :c], t[train], l2=1e-4)
-            held[test, c] = sigmoid(x.take(test).dot(w) + held[test, :c] @ v + b)
+            out, test = fold != f, fold == f
+            w, v, b = fit_logistic(tables[f].take(out), held[out, :c], t[out], l2=1e-4)
+            held[test, c] = sigmoid(tables[f].take(test).dot(w) + held[test, :c] @ v + b)
         w, v, b = fit_logistic(x, held[:, :c], t, l2=1e-4)
         weights[c], links[c, :c], bias[c] = w, v, b
     # the sample's share of toxic rows is not the corpus's
     bias[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
+    vocabulary = _named(chosen, (r for r, t in zip(rows, y, strict=True) if t)) | {b" %d" % k: len(chosen) + k for k in range(len(LENGTHS) + 1)}
     return Chain(vocabulary, weights, links, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", quality_col: str = "quality") -> Chain:
     """Fit on at most MAX_ROWS_PER_LABEL labelled rows of each label, taken in the order of a hash of
-    their ids. Rows with a null id or label are not used. Without rows of both labels nothing is rejected."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
+    their ids; of these, texts of more than MAX_ROW_BYTES teach nothing (all texts are scored whole). Rows with a null id
+    or label are not used; labels may lack the quality. Without rows of both labels nothing is rejected."""
+    y = F.col(common.quoted(label_col))
+    low = F.col(common.quoted(quality_col)) == 0 if quality_col in labels.columns else F.lit(False)
+    known = labels.where(F.col("doc_id").isNotNull() & y.isin(0, 1)).select("doc_id", y.cast("int").alias("y"), F.coalesce(low, F.lit(False)).alias("low"))
     n0, n1 = (known.agg(F.count_if(F.col("y") == v)).first()[0] for v in (0, 1))
     order = F.xxhash64("doc_id")
     some = known.where("y = 1").orderBy(order, "doc_id").limit(MAX_ROWS_PER_LABEL).union(known.where("y = 0").orderBy(order, "doc_id").limit(MAX_ROWS_PER_LABEL))
     # at most 2 * MAX_ROWS_PER_LABEL ids: their size is bounded, so they can be broadcast
-    picked = docs.select("doc_id", "text").join(F.broadcast(some.groupBy("doc_id").agg(F.max("y").alias("y"))), "doc_id")
+    some = some.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("low").alias("low"))
+    picked = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_ROW_BYTES).join(F.broadcast(some), "doc_id")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:  # the bounded sample's words
         words = [b" ".join(t.lower().split()) for t in common.text_or_empty(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], ["doc_id", "words", "y"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "words", "y", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = common.map_arrow(picked.select("doc_id", "text", "y"), kernel, f"doc_id {kind}, words binary, y int")
+    words = common.map_arrow(picked.select("doc_id", "text", "y", "low"), kernel, f"doc_id {kind}, words binary, y int, low boolean")
     # one row per id, however often the id is repeated in docs
-    got = words.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("y").alias("y")).toArrow().sort_by("doc_id")
+    got = words.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("y").alias("y"), F.max("low").alias("low")).toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(np.int64)
-    return fit(got.column("words").to_pylist(), y, prior=(n1 + 0.5) / (n0 + n1 + 1.0))
+    return fit(got.column("words").to_pylist(), y, prior=(n1 + 0.5) / (n0 + n1 + 1.0), shoddy=np.array(got.column("low").to_pylist(), bool))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """Add p_<category> doubles and rejected (p_toxic >= 0.5) to docs(doc_id, text, ...).
 
-    Null and empty texts have no features and get the chain's base probabilities; repeated rows are
-    scored each; columns that have one of these names are replaced.
+    Null and empty texts have no marks and get the chain's probabilities of texts without words; repeated rows are
+    scored each; an empty table gives no rows. Columns of docs may have any names; an added column whose name is taken
+    has an underscore before it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     added = [f"p_{c}" for c in CATEGORIES]
-    kept = [c for c in docs.columns if c not in (*added, "rejected")]
+    names = [*docs.columns, *[common.unused(docs, c) for c in (*added, "rejected")]]
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index("text")
     memo: dict[bytes, tuple[bytes, ...]] = {}
     marks: set[bytes] = set()
 
@@ -193,16 +229,16 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         chain = sent.value
         if not marks:
             marks.update(_base(m) for m in chain.vocabulary)
-        lists = [list(_features(_words(t), memo, chain.vocabulary, marks)) for t in common.text_or_empty(batch.column("text"))]
+        lists = [list(_features(_words(t), memo, chain.vocabulary, marks)) for t in common.text_or_empty(batch.column(at))]
         p = chain.predict(lists)
-        return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, c]) for c in range(p.shape[1])]], [*kept, *added])
+        return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, c]) for c in range(p.shape[1])]], [*batch.schema.names, *added])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema)
-    out = common.map_arrow(docs.select(*[f"`{c}`" for c in kept]), kernel, kinds + "".join(f", {a} double" for a in added))
-    return out.withColumn("rejected", F.col("p_toxic") >= 0.5)
+    kinds = T.StructType([*inner.schema.fields, *[T.StructField(a, T.DoubleType()) for a in added]])
+    return common.map_arrow(inner, kernel, kinds).withColumn("rejected", F.col("p_toxic") >= 0.5).toDF(*names)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the chain's probabilities and verdict; nulls, empty texts, ties and repeated rows as in score."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, common.table(spark, sf_dir, "labels"))
     out = score(docs, chain)
@@ -210,5 +246,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with their own columns."""
-    return score(docs, train(docs, labels)).where(~F.col("rejected")).select(*docs.columns)
+    """The rows of docs that are not rejected, with their own columns, whatever their names."""
+    out = score(docs, train(docs, labels))
+    return out.where(~F.col(out.columns[-1])).select(*common.columns(docs))

@@ -289,9 +289,26 @@ def test_toxicity(spark):
     assert np.mean([got[i] == (i % 4 == 0) for i in held]) > 0.97
     assert not got[1000] and not got[1001] and not got[1002]
     assert toxicity.reject_toxic(df, lab.where("false")).count() == len(rows)
+    odd = df.limit(5).select("*", F.lit(9).alias("rejected"), F.lit(1.5).alias("a.b"), F.lit(0.25).alias("p_toxic"))
+    out = toxicity.reject_toxic(odd, lab)
+    assert out.columns == odd.columns and {(r[2], r[3], r[4]) for r in out.collect()} == {(9, 1.5, 0.25)}
     assert toxicity.reject_toxic(df.where("false"), lab).count() == 0
 
 
+def test_out_of_fold_probabilities_have_not_seen_the_row():
+    """Labels at random over texts of unlike words: what a row's own label would teach must not show."""
+    draw = np.random.default_rng(6)
+    texts = [f"{_prose(i, 50)} own{i} own{i} own{i}".encode() for i in range(400)]
+    y = draw.integers(0, 2, 400)
+    chain = toxicity.fit(texts, y, 0.5)
+    assert abs(chain.links[-1]).max() < 4 and len(chain.vocabulary) < 60
+    bad = [f"{_prose(i, 50)} {'vile' if v else 'mild'}".encode() for i, v in enumerate(y)]
+    chain = toxicity.fit(bad, y, 0.5)
+    lists = [list(toxicity._features(toxicity._words(t), {}, chain.vocabulary, {toxicity._base(m) for m in chain.vocabulary})) for t in bad]
+    p = chain.predict(lists)
+    assert ((p[:, -1] >= 0.5) == y).all() and p[:, 0].max() > 0.5 and p[:, 1].max() < 0.5  # all texts are brief
+
+
 def test_quality_classifier(spark):
     rows = [(i, _prose(i, 80) if i % 3 else " | ".join(_prose(i, 40).split())) for i in range(600)] + [(999, None), (1000, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
