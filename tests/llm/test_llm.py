@@ -215,7 +215,7 @@ def test_shuffle_is_uniform(spark):
 
 def test_packing_round_trip(table, rows, empty):
     path = packing.production_tokenizer()
-    out = packing.pack(table, path, with_ids=True, shard_bytes=100_000).collect()
+    out = packing.pack(table, path, with_ids=True, shard_tokens=30_000).collect()
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
@@ -246,6 +246,37 @@ def test_packing_prefers_lexical_neighbours():
     assert [p[0] for p in first][:2] == [0, 2]
 
 
+def test_packing_order_is_that_of_bm25():
+    """Neighbours of the first window against scores summed by hand over all documents' frequencies."""
+    draw = np.random.default_rng(12)
+    docs = [np.r_[draw.zipf(1.3, draw.integers(40, 400)) % 300, 2].astype("<u2") for _ in range(60)]
+    n, mean = len(docs), float(np.mean([len(d) for d in docs]))
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]).astype(int), minlength=packing.MOST_IDS)
+    seed = max(range(n), key=lambda i: (len(docs[i]), -i))
+    score = np.zeros(n)
+    for j, d in enumerate(docs):
+        for t in set(docs[seed].tolist()):
+            tf = (d == t).sum()
+            score[j] += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    score[seed] = np.inf
+    want = np.argsort(-score, kind="stable").tolist()
+    first = next(row for row in packing.pack_documents(docs, 1024) if row[0][0] == seed)
+    assert [p[0] for p in first] == want[: len(first)]
+    ids = [docs[i] for i in range(n)]
+    assert packing.pack_documents(ids, 1024, df, n, mean) == packing.pack_documents(ids, 1024)
+
+
+def test_packing_brings_like_documents_together(spark):
+    """Documents of 40 topics, strewn over the table: what shares a window mostly shares the topic, in shards of a few documents."""
+    draw = np.random.default_rng(2)
+    words = np.array([a + b + c for a in "bdfgklmnprstvz" for b in "aeiou" for c in ("lan", "mor", "tek", "vin")])
+    rows = [(i, " ".join([*draw.choice(words[:30], 30), *draw.choice(words[60 + 5 * (i % 40) : 65 + 5 * (i % 40)], 60)])) for i in range(800)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), packing.production_tokenizer(), window=1024, shard_tokens=12_000).toPandas()
+    assert out.shard.nunique() > 5
+    topics = out.assign(topic=out.doc_id % 40).groupby("sequence_id").topic
+    assert (topics.nunique() / topics.size()).mean() < 0.65
+
+
 @pytest.mark.parametrize("text", ["İstanbul ŞΑΣ, don't <|endoftext|> x<|endoftext|>y 12ab  Straße! 日本 ς ﬁ 'S ²x?!..", "", " \n", "é́ école ŒUVRE.", "A.b ,y ×. ÷, 3,4 z.́ <|ENDOFTEXT|> a."])
 def test_remembering_tokenizer_is_exact(text):
     tok = packing.WordTokenizer(packing.production_tokenizer())
