@@ -104,6 +104,20 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+#: At most this many keys are broadcast by join_counted.
+HEAVY = 10_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, n: str) -> DataFrame:
+    """Inner join with right, which has one row per key and in n how many rows of left hold it. Keys of more than 1 / HEAVY of
+    left's rows are at most HEAVY and are broadcast; the others meet by merge, and no task gets more of one of them
+    than that share. right should be written (it is read three times); n is dropped; null keys join with nothing."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    most = max(1000, total // HEAVY)
+    heavy, light = F.broadcast(right.where(F.col(n) > most).drop(n)), right.where(F.col(n) <= most).drop(n)
+    return left.join(heavy, on).unionByName(left.join(heavy.select(on), on, "left_anti").join(light.hint("merge"), on))
+
+
 class Union:
     """Union-find over 0..n-1 whose roots are the smallest members."""
 

@@ -97,12 +97,12 @@ def plan(docs: DataFrame, temp: Temperature, totals: DataFrame, seed: int = 11,
     A source's copies follow each other in epochs, each a permutation of its own; the last epoch ends when
     the source's budget is met (the copy that crosses it is in). A source's token position divided by its
     share of a block gives the block. Prefix sums run over buckets of the permutation, so no task holds a
-    source.
+    source. totals should be written; docs' other columns are ignored.
     """
     base = docs.select("doc_id", _source().alias("source"), _tokens().alias("tokens"), F.xxhash64("text").alias("text_hash"))
-    per = totals.select("source", F.col("tokens").alias("all"), "rows", temp.repeats(F.col("tokens")).alias("repeats"), temp.weight(F.col("tokens")).alias("weight"))
+    per = totals.select("source", F.col("tokens").alias("all"), "rows", F.col("rows").alias("n"), temp.repeats(F.col("tokens")).alias("repeats"), temp.weight(F.col("tokens")).alias("weight"))
     epochs = F.ceil(F.col("repeats") - F.lit(1e-9)).cast("int")
-    copies = base.join(per, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    copies = common.join_counted(base, per, "source", "n").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     copies = copies.withColumn("key", _key(seed, F.col("epoch")))
     unit = F.shiftrightunsigned("key", 11).cast("double") / F.lit(float(1 << 53))
     copies = common.materialize(copies.withColumn("bucket", F.floor(unit * F.ceil(F.col("rows") / BUCKET_ROWS))))
@@ -121,23 +121,25 @@ def plan(docs: DataFrame, temp: Temperature, totals: DataFrame, seed: int = 11,
 
 
 def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, seed: int = 11) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it, with docs' own columns.
+    """The rows of docs, each as often as the mixture takes it, with docs' own columns,
+    whatever their names.
 
     Whole epochs repeat every row; of the last epoch a source takes the rows up to one key, so the texts are
     not moved, only a row per source. Null sources are a source; null and empty texts have no tokens and are
     taken once per whole epoch; equal rows share their fate; an empty table stays empty.
     """
+    source, last_key, whole_, copy = (common.unused(docs, c) for c in ("mix_source", "mix_last", "mix_whole", "mix_copy"))
     totals = common.materialize(source_totals(docs))
     temp = temperature(totals, max_repeats, entropy)
     whole = F.floor(F.col("repeats") + F.lit(1e-9)).cast("int")
     planned = plan(docs, temp, totals, seed)
-    last = planned.where(F.col("epoch") == whole).groupBy("source").agg(F.max(F.shiftrightunsigned("key", 1)).alias("__last"))
-    per = totals.select("source", whole_of(temp).alias("__whole")).join(last, "source", "left").withColumnRenamed("source", "__source")
-    per = common.materialize(per)
-    key = F.xxhash64(F.lit(seed), F.col("__whole"), F.col("doc_id"), F.xxhash64("text"))
-    take = F.col("__whole") + F.when(F.shiftrightunsigned(key, 1) <= F.col("__last"), 1).otherwise(0)
-    joined = docs.withColumn("__source", _source()).join(per, "__source")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), take))).select(*docs.columns)
+    last = planned.where(F.col("epoch") == whole).groupBy("source").agg(F.max(F.shiftrightunsigned("key", 1)).alias(last_key))
+    per = totals.select("source", whole_of(temp).alias(whole_), "rows").join(last, "source", "left")
+    per = common.materialize(per.select(F.col("source").alias(source), whole_, last_key, F.col("rows").alias(copy)))
+    key = F.xxhash64(F.lit(seed), F.col(whole_), F.col("doc_id"), F.xxhash64("text"))
+    take = F.col(whole_) + F.when(F.shiftrightunsigned(key, 1) <= F.col(last_key), 1).otherwise(0)
+    joined = common.join_counted(docs.withColumn(source, _source()), per, source, copy)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), take))).select(*common.columns(docs))
 
 
 def whole_of(temp: Temperature) -> Column:

@@ -47,8 +47,6 @@ KINDS = (
 
 #: A value held by more owners, or in more repositories, than this is a copied example.
 MAX_OWNERS, MAX_REPOS = 2, 50
-#: Hashes that hold more than this share of all candidates are joined by broadcast: there are at most HEAVY of them.
-HEAVY = 10_000
 _CANDIDATE = "array<struct<kind:int,nth:int,gap:bigint,size:bigint,fits:boolean,hash:string>>"
 
 
@@ -97,15 +95,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _with_counts(found: DataFrame) -> DataFrame:
-    """Candidates with n_owners and n_repos of their hash. Hashes of more than 1 / HEAVY of the rows are at most HEAVY, so
-    they are broadcast; the others meet by merge, and no task gets more than that share of one of them."""
-    held, counts = found.where("kind is not null"), common.materialize(ownership(found))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(counts.where(F.col("n") > max(1000, total // HEAVY)).select("hash", "n_owners", "n_repos"))
-    light = counts.where(F.col("n") <= max(1000, total // HEAVY)).select("hash", "n_owners", "n_repos")
-    hot = held.join(heavy, "hash")
-    cold = held.join(heavy.select("hash"), "hash", "left_anti").join(light.hint("merge"), "hash")
-    return hot.unionByName(cold)
+    """Candidates with n_owners and n_repos of their hash, whatever share of the rows one hash holds."""
+    return common.join_counted(found.where("kind is not null"), common.materialize(ownership(found)), "hash", "n")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:

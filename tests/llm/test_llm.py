@@ -296,6 +296,9 @@ def test_mixing(spark, empty):
     assert plan[plan.source == "big"].groupby("block").tokens.sum().iloc[:-1].std() < 40
     mixed = mixing.mix(df, 2.0)
     assert mixed.columns == df.columns and mixed.count() == len(plan)
+    odd = df.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("__whole"), F.lit(3).alias("mix_copy"))
+    got = mixing.mix(odd, 2.0)
+    assert got.columns == odd.columns and {(r[3], r[4], r[5]) for r in got.collect()} == {(1, 2, 3)}
     even = mixing.temperature(totals, 100.0, entropy=0.5)
     p = np.array([6000, 800, 200]) / 7000
     w = p**even.exponent / (p**even.exponent).sum()
@@ -303,6 +306,37 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty.select("doc_id", "text", "source")).count() == 0
 
 
+def test_mixing_matches_brute_force(spark):
+    """Exponent, repeats and every block of a small mixture, worked out row by row."""
+    import math
+
+    draw = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(draw.integers(1, 30))), "a" if i % 10 < 7 else "b" if i % 10 < 9 else "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = common.materialize(mixing.source_totals(df))
+    temp = mixing.temperature(totals, 2.5)
+    tokens = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    assert {r.source: r.tokens for r in totals.collect()} == tokens
+    spread = max(tokens.values()) / min(tokens.values())
+    exponent = 1 - math.log(2.5) / math.log(spread)  # the flattest that repeats the smallest source 2.5 times
+    assert temp.exponent == pytest.approx(exponent, abs=1e-6)
+    share = {s: t / sum(tokens.values()) for s, t in tokens.items()}
+    weight = {s: p**exponent / sum(q**exponent for q in share.values()) for s, p in share.items()}
+    got = {}
+    for r in mixing.plan(df, temp, totals, block_tokens=400).collect():
+        got.setdefault(r.source, []).append(r)
+        assert r.weight == pytest.approx(weight[r.source], abs=1e-6)
+    for s, own in got.items():
+        repeats = (share[s] / max(share.values())) ** (exponent - 1)
+        at = 0
+        for r in sorted(own, key=lambda r: (r.epoch, r.key % 2**64 >> 1, r.key, r.doc_id)):
+            assert r.block == math.floor(at / max(1, weight[s] * 400) + 1e-9) or abs(at / (weight[s] * 400) % 1) < 1e-6
+            at += r.tokens
+        assert at - 30 < repeats * tokens[s] + 1 <= at + 1.5
+        for epoch in range(int(repeats)):
+            assert sorted(r.doc_id for r in own if r.epoch == epoch) == [i for i, _, x in rows if x == s]
+
+
 def test_toxicity(spark):
     bad = ["vilword", "stemmaaa", "stemmbbb", "stemmccc"]
     rows, labels = [], []
