@@ -319,3 +319,17 @@ def bin_by_median(values: np.ndarray, tolerance) -> np.ndarray:
             at, start = at + 1, i
         out[i] = at
     return out
+
+
+def intensity_groups(mz: np.ndarray, intensity: np.ndarray, tolerance: float) -> np.ndarray:
+    """Group numbers around the most intense points: each point not yet taken, in falling order of intensity (the first on
+    ties), takes all free points nearer than tolerance to it."""
+    mz, free = np.asarray(mz, float), np.ones(len(mz), bool)
+    out, at = np.zeros(len(mz), np.int64), 0
+    for i in np.argsort(-np.asarray(intensity), kind="stable"):
+        if free[i]:
+            near = free & (np.abs(mz - mz[i]) < tolerance)
+            near[i] = True
+            out[near], at = at, at + 1
+            free &= ~near
+    return out

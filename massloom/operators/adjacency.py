@@ -1,12 +1,13 @@
-"""Operators on rows in m/z order. A global order is cut into blocks; rows near a block's edge are also sent to the
-neighbour, so windows run per block and no task holds the whole order. The halo must be at least as wide
-as the widest gap that can change a result.
+"""Operators on rows in m/z order. A global order is cut into blocks of about as many rows each, at quantiles of the
+data; rows near a block's edge are also sent to the blocks that their halo reaches, so windows run per block and no task
+holds the whole order. The halo must be at least as wide as the widest gap that can change a result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +15,37 @@ from ..functions.kernels import split_wide
 from .settle import settle
 from .tolerance import PPM
 
-#: m/z width of a block.
-BLOCK = 10.0
+#: Rows of a block, about, and blocks at most.
+BLOCK_ROWS, MAX_BLOCKS = 20_000, 4096
 FAR = 999_999.0
 
 
-def blocked(df: DataFrame, on: str, halo: Column | float, width: float = BLOCK) -> DataFrame:
-    """df with __block and __own: every row once in its own block and again where its halo reaches."""
+def _edges(df: DataFrame, on: str) -> list[float]:
+    """Inner edges of blocks of about BLOCK_ROWS rows: quantiles from one pass, at most MAX_BLOCKS numbers."""
+    shares = [k / MAX_BLOCKS for k in range(1, MAX_BLOCKS)]
+    n, at = df.agg(F.count(on), F.percentile_approx(F.col(on).cast("double"), shares, 4 * MAX_BLOCKS)).first()
+    blocks = min(MAX_BLOCKS, max(1, n // BLOCK_ROWS))
+    return sorted({at[k * MAX_BLOCKS // blocks - 1] for k in range(1, blocks)}) if at else []
+
+
+def _block_of(df: DataFrame, edges: list[float], columns: dict[str, Column]) -> DataFrame:
+    """df with the block numbers of values: how many edges are at or below each."""
+    if not edges:
+        return df.withColumns({name: F.lit(0) for name in columns})
+    at = [f"__at{i}" for i in range(len(columns))]
+    held = df.withColumns({c: v.cast("double") for c, v in zip(at, columns.values(), strict=True)})
+    cut = Bucketizer(splitsArray=[[-float("inf"), *edges, float("inf")]] * len(at), inputCols=at, outputCols=list(columns), handleInvalid="keep")
+    return cut.transform(held).drop(*at).withColumns({name: F.col(name).cast("int") for name in columns})
+
+
+def blocked(df: DataFrame, on: str, halo: Column | float) -> DataFrame:
+    """df with __block and __own: every row once in its own block and again wherever its halo reaches."""
     v = F.col(on)
     halo = halo if isinstance(halo, Column) else F.lit(float(halo))
-    mine = F.floor(v / width)
-    reach = F.array_distinct(F.array(mine, F.floor((v - halo) / width), F.floor((v + halo) / width)))
-    return df.where(v.isNotNull()).withColumn("__block", F.explode(reach)).withColumn("__own", F.col("__block") == mine)
+    rows = df.where(v.isNotNull())
+    rows = _block_of(rows, _edges(rows, on), {"__mine": v, "__low": v - halo, "__high": v + halo})
+    rows = rows.withColumn("__block", F.explode(F.sequence("__low", "__high")))
+    return rows.withColumn("__own", F.col("__block") == F.col("__mine")).drop("__mine", "__low", "__high")
 
 
 def _union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -89,16 +109,16 @@ def best_adjacent_match(a: DataFrame, b: DataFrame, ppm: float = 5.0) -> DataFra
     return chained.groupBy("session").applyInPandas(fold, "id1 long, id2 long, ratio double")
 
 
-def gap_sessions(df: DataFrame, keys: list[str], on: str, breaks, order: list[str] | None = None, width: float = BLOCK) -> DataFrame:
+def gap_sessions(df: DataFrame, keys: list[str], on: str, breaks, order: list[str] | None = None) -> DataFrame:
     """Add session: rows of a key in order of `on` are cut where breaks(value, value before) holds; a session's
     value is that of its first row.
 
     Works block by block: each block finds its last cut, cuts are carried over blocks through one row per
-    block, and rows before a block's first cut take the carried one. breaks must hold for gaps of a block's
-    width and more.
+    block (and key), and rows before a block's first cut take the carried one.
     """
     order = order or [on]
-    part = df.where(F.col(on).isNotNull()).withColumn("__block", F.floor(F.col(on) / width))
+    part = df.where(F.col(on).isNotNull())
+    part = _block_of(part, _edges(part, on), {"__block": F.col(on)})
     w = Window.partitionBy(*keys, "__block").orderBy(*order)
     ends = part.groupBy(*keys, "__block").agg(F.max(on).alias("__end"))
     line = Window.partitionBy(*keys).orderBy("__block") if keys else Window.orderBy("__block")
@@ -150,18 +170,18 @@ def centroid_grid(tracks: DataFrame, ppm: float = 5.0) -> DataFrame:
     """(sample_id, track_id, mz, session, part, grid_mz) for tracks of all samples: sessions cut at gaps of ppm or more;
     sessions wider than twice the tolerance are split at density seeds; a group's m/z is its median. Narrow
     sessions stay in built-in operators."""
-    cut = settle(gap_sessions(tracks.select("sample_id", "track_id", "mz"), [], "mz", lambda v, p: v - p >= p * ppm * PPM, ["mz", "sample_id", "track_id"]))
-    span = cut.groupBy("session").agg((F.max("mz") - F.min("mz") >= 2 * ppm * PPM * F.min("mz")).alias("wide"))
-    cut = cut.join(span, "session")
+    cut = gap_sessions(tracks.select("sample_id", "track_id", "mz"), [], "mz", lambda v, p: v - p >= p * ppm * PPM, ["mz", "sample_id", "track_id"])
+    w = Window.partitionBy("session")
+    low, high = F.min("mz").over(w), F.max("mz").over(w)
+    cut = settle(cut.withColumn("wide", high - low >= 2 * ppm * PPM * low).withColumn("grid_mz", F.median("mz").over(w)))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mz", "sample_id", "track_id"])
         pdf["part"] = split_wide(pdf.mz.to_numpy(), pdf.mz.iloc[0] * ppm * PPM).astype(np.int64)
+        pdf["grid_mz"] = pdf.groupby("part").mz.transform("median")
         return pdf
 
     cols = ["sample_id", "track_id", "mz", "session"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*cols).schema) + ", part long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*cols).schema) + ", part long, grid_mz double"
     wide = cut.where("wide").select(*cols).groupBy("session").applyInPandas(split, schema)
-    parts = cut.where("not wide").select(*cols, F.lit(0).cast("long").alias("part")).union(settle(wide))
-    middle = parts.groupBy("session", "part").agg(F.median("mz").alias("grid_mz"))
-    return parts.join(middle, ["session", "part"]).select(*cols, "part", "grid_mz")
+    return cut.where("not wide").select(*cols, F.lit(0).cast("long").alias("part"), "grid_mz").union(wide)

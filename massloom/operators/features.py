@@ -25,10 +25,10 @@ def areas(track_points: DataFrame, features: DataFrame, method: str = "sum") ->
     return top.groupBy("feature_id", "sample_id").agg(F.sum("x").alias("area"))
 
 
-def mapped_bounds(features: DataFrame, samples: DataFrame, reverse_map: DataFrame) -> DataFrame:
-    """Features' bases on each sample's own scans: reverse_map(sample_id, ref_scan, scan) has changed scans only,
-    others stay."""
-    both = features.join(F.broadcast(samples.select("sample_id")) if samples.count() <= 10_000 else samples.select("sample_id"))
+def mapped_bounds(features: DataFrame, tracks: DataFrame, reverse_map: DataFrame) -> DataFrame:
+    """Features' bases on the own scans of each sample that has the feature's grid row: tracks(grid_id, sample_id);
+    reverse_map(sample_id, ref_scan, scan) has changed scans only, others stay."""
+    both = features.join(tracks.select("grid_id", "sample_id").distinct(), "grid_id")
     for side in ("left_base", "right_base"):
         m = reverse_map.select("sample_id", F.col("ref_scan").alias(side), F.col("scan").alias("__scan"))
         both = both.join(m, ["sample_id", side], "left").withColumn(side, F.coalesce("__scan", side)).drop("__scan")

@@ -48,19 +48,47 @@ def flags(matches: DataFrame, tolerance: float) -> DataFrame:
     return matches.withColumn("has_basepeak", has_peak(F.col("peaks"), F.col("base_peak.mz"), tolerance)).withColumn("has_molecular_ion", has_peak(F.col("peaks"), molecular_ion(F.col("exact_mass")), tolerance))
 
 
+#: Knots of an index table: alkane ladders have a few dozen.
+MAX_KNOTS = 200
+
+
+def _knots(knots: DataFrame) -> list[tuple[float, float]]:
+    """(minutes, index) in order; the table's size is checked, as it becomes part of the expression."""
+    rows = knots.select(F.col("rtime_min").cast("double"), F.col("index").cast("double")).where("rtime_min is not null and index is not null").orderBy("rtime_min", "index").limit(MAX_KNOTS + 1).collect()
+    if len(rows) > MAX_KNOTS:
+        raise ValueError(f"more than {MAX_KNOTS} retention index knots")
+    return [tuple(r) for r in rows]
+
+
 def kovats(features: DataFrame, knots: DataFrame, time: str = "rtime") -> DataFrame:
-    """Add RI: linear between knots(index, rtime_min), held at the ends; time is in seconds. Knots become segments,
-    of which the table is small and fixed, so the range join is a broadcast one."""
-    w = Window.orderBy("rtime_min")
-    seg = knots.select(F.col("index").alias("__i0"), F.col("rtime_min").alias("__t0"), F.lead("index").over(w).alias("__i1"), F.lead("rtime_min").over(w).alias("__t1"), F.row_number().over(w).alias("__n"))
-    m = F.col(time) / 60
-    inside = (m >= F.col("__t0")) & (F.col("__t1").isNull() | (m < F.col("__t1"))) | ((F.col("__n") == 1) & (m < F.col("__t0")))
-    value = F.when(F.col("__t1").isNull() | (m <= F.col("__t0")), F.col("__i0")).otherwise(F.col("__i0") + (m - F.col("__t0")) * (F.col("__i1") - F.col("__i0")) / (F.col("__t1") - F.col("__t0")))
-    return features.join(F.broadcast(seg), inside, "left").withColumn("RI", value).select(*features.columns, "RI")
+    """Add RI: linear between knots(index, rtime_min), held at the ends; time is in seconds. Null without knots."""
+    held = _knots(knots)
+    m, value = F.col(time) / 60, F.lit(held[-1][1] if held else None).cast("double")
+    for (t0, i0), (t1, i1) in reversed(list(zip(held[:-1], held[1:], strict=True))):
+        value = F.when(m < t1, F.lit(i0) + (m - t0) * (i1 - i0) / (t1 - t0) if t1 > t0 else F.lit(i0)).otherwise(value)
+    if held:
+        value = F.when(m <= held[0][0], held[0][1]).otherwise(value)
+    return features.withColumn("RI", F.when(m.isNotNull(), value))
+
+
+def kovats_bracket(times: DataFrame, knots: DataFrame, time: str = "rtime", end: float | None = None) -> DataFrame:
+    """Add RI = 100 (index + (t - t0) / (t1 - t)) between the knots before and at or after t, as an older formula has it; null
+    before the first knot and at a knot. Beyond the last knot, t1 is `end` (the times' greatest by default) and a tenth."""
+    held, t = _knots(knots), F.col(time)
+    if end is None:
+        end = times.agg(F.max(t)).first()[0] or 0.0
+    value = F.lit(None).cast("double")
+    for k in reversed(range(len(held))):
+        t0, i0 = held[k]
+        t1 = held[k + 1][0] if k + 1 < len(held) else float(end) * 1.1
+        here = 100 * (F.lit(i0) + (t - t0) / F.nullif(F.lit(t1) - t, F.lit(0.0)))
+        value = F.when((t > t0) & (t <= t1), here).otherwise(value)
+    return times.withColumn("RI", value)
 
 
 def fit_kovats(table: DataFrame, frac: float = 0.3) -> DataFrame:
-    """Smoothed knots from an alkane table(index, rtime_min), by local regression; one small table."""
+    """Smoothed knots from an alkane table(index, rtime_min) of at most MAX_KNOTS rows, by local regression in one task."""
+    _knots(table)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = K.lowess(pdf["index"].to_numpy(float), pdf.rtime_min.to_numpy(float), max(frac, 3 / max(3, len(pdf))))
@@ -120,11 +148,18 @@ def spaced_tops(features: DataFrame, gap: float = 100, low: float = 1000, high:
     return inside.groupBy(F.floor((F.col("RI") - low) / gap).alias("stratum")).agg(best.alias("feature_id"))
 
 
+#: Features of a stratum that are clustered at once.
+MAX_STRATUM = 8000
+
+
 def correlation_clusters(features: DataFrame, samples: list[str], cut: float = 1.0, stratum: float = 100, least: float = 1, most: float = 100) -> DataFrame:
     """(feature_id, cluster): Ward clustering of 1 - penalty(dRI) * correlation inside strata of retention index, each
-    stratum one bounded kernel call. features(feature_id, RI, areas array over samples)."""
+    stratum one kernel call. features(feature_id, RI, areas array over samples). A stratum's table of distances is
+    bounded: more than MAX_STRATUM features in one are an error (callers take the largest features first)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_STRATUM:
+            raise ValueError(f"more than {MAX_STRATUM} features in one stratum")
         pdf = pdf.sort_values("feature_id", ignore_index=True)
         if len(pdf) == 1:
             return pd.DataFrame({"feature_id": pdf.feature_id, "cluster": [f"{int(pdf.stratum[0])}_1"]})
@@ -164,6 +199,8 @@ def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
         label = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return label.select(F.col("a").alias("feature_id"), F.col("l").alias("compound"))
 
 

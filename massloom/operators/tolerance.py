@@ -6,7 +6,7 @@ Both sides must have different column names. Null keys join with nothing. Skewed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PPM = 1e-6
@@ -97,22 +97,31 @@ def nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str, righ
     order = F.struct(F.abs(F.col(left_on) - F.col(right_on)).alias("gap"), F.col(right_id).alias("id"), F.col(right_on).alias("value"))
     best = close.groupBy("__row").agg(F.min(order).alias("x"))
     found = rows.join(best, "__row", "left")
-    lost = found.where("x is null").drop("x")
-    # far rows: the filled bins below and above, by a running last and first over all bins (few rows)
-    from pyspark.sql import Window
-
-    marks = ends.select(F.col("__bin"), "low", "high", F.lit(None).cast("long").alias("__row"), F.lit(None).cast("double").alias("__at"))
-    asks = lost.select(F.floor(F.col(left_on) / width).alias("__bin"), F.lit(None).cast(ends.schema["low"].dataType).alias("low"), F.lit(None).cast(ends.schema["high"].dataType).alias("high"), "__row", F.col(left_on).cast("double").alias("__at"))
-    line = marks.unionByName(asks)
-    up = Window.orderBy("__bin", F.col("__row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col("__bin").desc(), F.col("__row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("below", F.last("high", True).over(up)).withColumn("above", F.last("low", True).over(down)).where("__row is not null")
+    lost = found.where("x is null").select("__row", F.col(left_on).cast("double").alias("__at"), here.alias("__bin")).where("__at is not null")
+    # far rows: of each of their bins the filled bins below and above, carried over blocks of bins; rows join their bin
+    line = ends.select("__bin", "low", "high").join(lost.select("__bin").distinct(), "__bin", "full")
+    line = _carried(_carried(line, "__bin", "high", "below", True), "__bin", "low", "above", False).select("__bin", "below", "above")
     option = lambda c, v, i: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{c}.{v}")).alias("gap"), i.alias("id"), F.col(f"{c}.{v}").alias("value")))
-    far = line.select("__row", F.least(option("below", right_on, -F.col("below.__neg")), option("above", right_on, F.col(f"above.{right_id}"))).alias("y"))
+    far = lost.join(line, "__bin").select("__row", F.least(option("below", right_on, -F.col("below.__neg")), option("above", right_on, F.col(f"above.{right_id}"))).alias("y"))
     out = found.join(far, "__row", "left").withColumn("x", F.coalesce("x", "y"))
     return out.select(*left.columns, F.col("x.id").alias(right_id), F.col("x.value").alias(right_on), F.col("x.gap").alias("gap"))
 
 
+def _carried(df: DataFrame, on: str, value: str, name: str, forward: bool, width: int = 4096) -> DataFrame:
+    """Add name: the last value that is not null at or before each row in the order of the whole number `on` (or the first at or
+    behind it). Windows run per block of width numbers; one row per block carries values over blocks."""
+    block, order = F.floor(F.col(on) / width), (lambda c: F.col(c).asc() if forward else F.col(c).desc())
+    w = Window.partitionBy("__block").orderBy(order(on)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("__block", block).withColumn("__here", F.last(value, True).over(w))
+    pick = F.max_by if forward else F.min_by
+    # one row per block of a line that is itself no longer than the range of values over the bins' width
+    ends = rows.where(F.col(value).isNotNull()).groupBy("__block").agg(pick(value, on).alias("__end"))
+    ends = rows.select("__block").distinct().join(ends, "__block", "left")
+    over = Window.orderBy(order("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__block", F.last("__end", True).over(over).alias("__from"))
+    return rows.join(ends, "__block").withColumn(name, F.coalesce("__here", "__from")).drop("__block", "__here", "__from")
+
+
 def interval_members(points: DataFrame, intervals: DataFrame, key: str, at: str, low: str, high: str, width: float, inclusive: bool = False) -> DataFrame:
     """Points strictly inside (or, if inclusive, on the bounds of) intervals with the same key: intervals are
     exploded over the bins that they touch."""

@@ -16,8 +16,10 @@ from ..operators import adjacency as A
 from ..operators import features as X
 from ..operators import library as L
 from ..operators import peaks as P
+from ..operators import spectra as S
 from ..operators import tolerance as T
 from ..operators import tracks as R
+from ..operators.fragments import attach_to_tracks
 from ..operators.settle import settle
 from ..params import Parameters
 from .align import align_samples
@@ -97,7 +99,7 @@ def process(points: DataFrame, p: Parameters, n_scans: int | None = None, scans:
         found = found.join(axis.select(F.col("scan").alias(side), F.col("rtime").alias(name)), side, "left")
     found = settle(found)
     back = rt_map.select("sample_id", F.col("ref_scan"), "scan").groupBy("sample_id", "ref_scan").agg(F.max("scan").alias("scan"))
-    bounds = X.mapped_bounds(found.select("feature_id", "grid_id", "left_base", "right_base"), tracks.select("sample_id").distinct(), back)
+    bounds = X.mapped_bounds(found.select("feature_id", "grid_id", "left_base", "right_base"), on_grid.select("grid_id", "sample_id"), back)
     inside = on_grid.join(bounds, ["sample_id", "grid_id"]).where(F.col("scan").between(F.col("left_base"), F.col("right_base")))
     areas = inside.groupBy("feature_id", "sample_id").agg(F.sum("intensity").alias("area"))
     return Processed(grid, rt_map, composite, found, areas, samples)
@@ -114,6 +116,16 @@ def retention_maps(on_grid: DataFrame, reference, n_scans: int, p: Parameters) -
     return P.calibrate_samples(pairs, n_scans, n_scans, p.peak_number_rt_calibration, p.max_retention_shift, p.num_lowess_iterations)
 
 
+def process_ms2(processed: Processed, spectra: DataFrame, p: Parameters, gap: float = 5.0, tolerance: float = 0.01, cut: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """LC-MS/MS on top of process: (tracks with their spectra, representatives of the spectra of each track). Spectra
+    spectra(spec_id, precursor_mz, rtime, peaks) join every track within the mass tolerance of their precursor; a track's
+    spectra are cut at gaps of time and clustered by likeness."""
+    tracks = processed.grid.groupBy("grid_id").agg(F.first("grid_mz").alias("mz"))
+    attached = attach_to_tracks(tracks.withColumnRenamed("grid_id", "track_id"), spectra, p.mz_tolerance_ppm)
+    held = attached.select(F.col("track_id").alias("grid_id"), F.explode("spec_ids").alias("spec_id")).join(spectra, "spec_id")
+    return attached, S.cluster_spectra(held.select("grid_id", "spec_id", "rtime", "peaks"), "grid_id", gap, tolerance, cut)
+
+
 def process_dims(points: DataFrame, p: Parameters) -> DataFrame:
     """Direct infusion: greatest intensity per grid row and sample, no time axis."""
     track_points, tracks = (settle(x) for x in extract_tracks(points, p))

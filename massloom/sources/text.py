@@ -155,3 +155,49 @@ def readable_size(n: Column) -> Column:
         fits = F.abs(n) < 1024.0 ** (k + 1)
         out = F.when(fits, text) if out is None else out.when(fits, text)
     return out.otherwise(F.format_string("%.1fPiB", n / float(1024**5)))
+
+
+def resolve_tables(spark: SparkSession, path: str, name: str = "Feature_table.tsv", folder: str = "export/", default: str = "full_Feature_table.tsv") -> DataFrame:
+    """(path) of the feature table that each line of a list means: the line itself where it names one, a file in it where it
+    names an export folder, else a file in its export folder; blank lines are left out."""
+    line = F.col("value")
+    below = lambda *p: F.concat_ws("/", F.rtrim(F.regexp_replace(line, "/+$", "")), *map(F.lit, p))
+    found = F.when(line.contains(name), line).when(line.contains(folder), below(default)).otherwise(below(folder.strip("/"), default))
+    return spark.read.text(path).where(F.trim("value") != "").select(found.alias("path"))
+
+
+def read_library(spark: SparkSession, path: str) -> DataFrame | None:
+    """A compound library by its extension: MSP records, a JSON list (peaks as pairs of m/z and intensity), else None."""
+    lower = path.lower().rstrip("/")
+    if lower.endswith(".msp"):
+        return read_msp(spark, path)
+    if lower.endswith(".json"):
+        return spark.read.json(path, multiLine=True)
+    return None
+
+
+def read_quality_table(spark: SparkSession, path: str, most: int = 21) -> DataFrame:
+    """The first columns of a feature table as numbers where they are some: its id and up to `most` others, so that the samples
+    of wide tables are not read."""
+    wide = spark.read.csv(path, sep="\t", header=True, inferSchema=True)
+    return wide.select(*[F.col(f"`{c}`") for c in wide.columns[: most + 1]])
+
+
+def read_project(spark: SparkSession, folder: str, samples: int = 20) -> dict[str, DataFrame]:
+    """What a browser of results opens: `project` (parameters), `features` with the areas of up to `samples` samples, and
+    `compounds` where the folder has them. Only the columns named are read."""
+    out = {"project": spark.read.json(f"{folder}/project.json", multiLine=True)}
+    wide = read_tsv(spark, f"{folder}/export/full_Feature_table.tsv")
+    out["features"] = wide.select(*[F.col(f"`{c}`") for c in wide.columns[: len(FEATURE_COLUMNS) + samples]])
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/Annotated_empricalCompounds.json")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        out["compounds"] = spark.read.json(f"{folder}/Annotated_empricalCompounds.json", multiLine=True)
+    return out
+
+
+def read_merge_table(spark: SparkSession, path: str, number_rows: bool = False) -> DataFrame:
+    """(feature_id, mz, rtime, line): key columns of a table to be merged, and the line as it is. With number_rows ids are row{n}."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where((F.col("n") > 0) & (F.trim("line") != ""))
+    part = F.split("line", "\t")
+    ids = F.format_string("row%d", F.col("n")) if number_rows else F.get(part, F.lit(0))
+    return lines.select(ids.alias("feature_id"), F.get(part, F.lit(1)).try_cast("double").alias("mz"), F.get(part, F.lit(2)).try_cast("double").alias("rtime"), "line")
