@@ -72,6 +72,24 @@ def scored(pairs: DataFrame, a: str, b: str, tolerance: float, method: str = "co
     return pairs.withColumn("__s", score(a, b)).select(*pairs.columns, "__s.score", "__s.n_matched")
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def grid_cosine(x: Column, y: Column) -> Column:
+    """Cosine of two spectra that are arrays of intensities on one grid; null where one has no intensity."""
+    dot = lambda a, b: _sum(F.zip_with(a, b, lambda p, q: p * q))
+    return dot(x, y) / F.nullif(F.sqrt(dot(x, x) * dot(y, y)), F.lit(0.0))
+
+
+def grid_entropy(x: Column, y: Column) -> Column:
+    """Unweighted spectral entropy similarity of two such spectra."""
+    share = lambda a: F.transform(a, lambda v: v / F.nullif(_sum(a), F.lit(0.0)))
+    entropy = lambda a: -_sum(F.transform(a, lambda v: F.when(v > 0, v * F.log(v)).otherwise(0.0)))
+    mixed = F.zip_with(share(x), share(y), lambda p, q: (p + q) / 2)
+    return 1 - (2 * entropy(mixed) - entropy(share(x)) - entropy(share(y))) / float(np.log(4))
+
+
 def aligned_cosine(spectra: DataFrame, library: DataFrame) -> DataFrame:
     """(id, lib_id, score) for spectra on a common grid: (id, bin, intensity) and (lib_id, bin, intensity2). Each pair of
     peaks is unique there, so the greedy cosine is a dot product, all in built-in operators."""

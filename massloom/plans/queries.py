@@ -245,10 +245,10 @@ def coelution_filter(spark, d):
 
 
 @query(f"""WITH {D.FEATURES}, {D.LIBRARY}, u AS (SELECT lib_mz, min(part_id) AS part_id FROM library GROUP BY 1),
-f AS (SELECT id, mz FROM features WHERE id % 20 = 0),
+f AS (SELECT id, mz FROM features),
 x AS (SELECT id, arg_min({{'p': part_id, 'g': abs(mz - lib_mz)}}, {{'g': abs(mz - lib_mz), 'i': part_id}}) AS b FROM f, u GROUP BY id) SELECT id, b.p AS part_id, round(b.g, 6) AS gap FROM x""")
 def nearest_track(spark, d):
-    f = D.features(spark, d).where("id % 20 = 0").select("id", "mz")
+    f = D.features(spark, d).select("id", "mz")
     return T.nearest(f, D.library(spark, d), "mz", "lib_mz", "part_id", 0.5).select("id", "part_id", _r("gap").alias("gap"))
 
 
@@ -421,26 +421,28 @@ def low_intensity_cut(spark, d):
     return _peaks(spark, d).select("vec_id", F.size(S.above_base(F.col("peaks"), S.base_peak(F.col("peaks"))["intensity"], 3.0)).alias("n"))
 
 
-_AB = f"{D.SPECTRA}, a AS (SELECT * FROM spectra WHERE vec_id % 10 = 0), b AS (SELECT vec_id AS lib_id, bin, intensity AS y FROM spectra WHERE vec_id % 10 = 1)"
+def _asked(spark, d) -> DataFrame:
+    """(id, x, lib_id, y): spectra whose id is divisible by 50 against all of them; queries go to all blocks of rows, so
+    that the join has a key."""
+    p, blocks = D.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("x")), 64
+    asked = p.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return asked.join(p.select(F.col("vec_id").alias("lib_id"), F.col("x").alias("y"), F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("block")), "block")
 
 
-def _ab(spark, d) -> tuple[DataFrame, DataFrame]:
-    s = D.spectra(spark, d)
-    return s.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "bin", "intensity"), s.where("vec_id % 10 = 1").select(F.col("vec_id").alias("lib_id"), "bin", F.col("intensity").alias("intensity2"))
+_ASKED = "v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS x FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS lib_id, a.x, b.x AS y FROM v a, v b WHERE a.vec_id % 50 = 0)"
 
 
-@query(f"""WITH {_AB}, na AS (SELECT vec_id, sqrt(sum(intensity * intensity)) AS n FROM a GROUP BY 1), nb AS (SELECT lib_id, sqrt(sum(y * y)) AS n FROM b GROUP BY 1)
-SELECT a.vec_id AS id, b.lib_id, round(sum(a.intensity / na.n * b.y / nb.n), 6) AS score FROM a JOIN b USING (bin) JOIN na ON na.vec_id = a.vec_id JOIN nb ON nb.lib_id = b.lib_id GROUP BY ALL""")
+@query(f"WITH {_ASKED} SELECT id, lib_id, round(list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)), 6) AS score FROM p")
 def spectral_cosine(spark, d):
-    return S.aligned_cosine(*_ab(spark, d)).withColumn("score", _r("score"))
+    return _asked(spark, d).select("id", "lib_id", _r(S.grid_cosine(F.col("x"), F.col("y"))).alias("score"))
 
 
-@query(f"""WITH {_AB}, p AS (SELECT vec_id, bin, intensity / sum(intensity) OVER (PARTITION BY vec_id) AS p FROM a), q AS (SELECT lib_id, bin, y / sum(y) OVER (PARTITION BY lib_id) AS q FROM b),
-ha AS (SELECT vec_id, -sum(p * ln(p)) AS h FROM p WHERE p > 0 GROUP BY 1), hb AS (SELECT lib_id, -sum(q * ln(q)) AS h FROM q WHERE q > 0 GROUP BY 1),
-m AS (SELECT vec_id, lib_id, -sum((p + q) / 2 * ln((p + q) / 2)) AS h FROM p JOIN q USING (bin) WHERE p + q > 0 GROUP BY ALL)
-SELECT m.vec_id AS id, m.lib_id, round(1 - (2 * m.h - ha.h - hb.h) / ln(4), 6) AS score FROM m JOIN ha USING (vec_id) JOIN hb USING (lib_id)""")
+@query(f"""WITH {_ASKED}, q AS (SELECT id, lib_id, list_transform(x, lambda e: e / list_sum(x)) AS x, list_transform(y, lambda e: e / list_sum(y)) AS y FROM p),
+h AS (SELECT id, lib_id, -list_sum(list_transform(x, lambda e: CASE WHEN e > 0 THEN e * ln(e) ELSE 0 END)) AS hx, -list_sum(list_transform(y, lambda e: CASE WHEN e > 0 THEN e * ln(e) ELSE 0 END)) AS hy,
+-list_sum(list_transform(list_zip(x, y), lambda e: CASE WHEN e[1] + e[2] > 0 THEN (e[1] + e[2]) / 2 * ln((e[1] + e[2]) / 2) ELSE 0 END)) AS hm FROM q)
+SELECT id, lib_id, round(1 - (2 * hm - hx - hy) / ln(4), 6) AS score FROM h""")
 def spectral_entropy(spark, d):
-    return S.aligned_entropy(*_ab(spark, d)).withColumn("score", _r("score"))
+    return _asked(spark, d).select("id", "lib_id", _r(S.grid_entropy(F.col("x"), F.col("y"))).alias("score"))
 
 
 # ---------------------------------------------------------------- quality control
@@ -512,10 +514,10 @@ def mass_calibration(spark, d):
     return X.calibrated(f, lib, 50, 0.2).select("feature_id", _r("mz_calibrated").alias("mz_calibrated"))
 
 
-@query("""WITH f AS (SELECT p_partkey, 1 + p_size AS half, p_retailprice AS area FROM part WHERE p_partkey % 10 = 0), g AS (SELECT p_partkey, k.x, area / sqrt(2 * pi() * (0.33 * half) * (0.33 * half)) * exp(-(x - 50) * (x - 50) / (2 * (0.33 * half) * (0.33 * half))) AS y FROM f, generate_series(0, 100) AS k(x))
+@query("""WITH f AS (SELECT p_partkey, 1 + p_size AS half, p_retailprice AS area FROM part), g AS (SELECT p_partkey, k.x, area / sqrt(2 * pi() * (0.33 * half) * (0.33 * half)) * exp(-(x - 50) * (x - 50) / (2 * (0.33 * half) * (0.33 * half))) AS y FROM f, generate_series(0, 100) AS k(x))
 SELECT x::INT AS x, round(sum(y), 4) AS total FROM g GROUP BY x""")
 def gaussian_reconstruct(spark, d):
-    f = D.table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", (0.33 * (1 + F.col("p_size"))).alias("s"), F.col("p_retailprice").alias("area"))
+    f = D.table(spark, d, "part").select("p_partkey", (0.33 * (1 + F.col("p_size"))).alias("s"), F.col("p_retailprice").alias("area"))
     from .join_tables import simulated
 
     g = simulated(f.select(F.lit(1).alias("track"), F.lit(50.0).alias("middle"), "s", "area"), 0, 100)
