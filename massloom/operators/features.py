@@ -78,8 +78,8 @@ def unique_per_track(features: DataFrame, track: str, min_area: float, min_snr:
 
 def best_per_compound(members: DataFrame, compound: str) -> DataFrame:
     """Of each compound the feature of the greatest (peak_area, goodness_fitting), the least id on ties."""
-    rank = F.struct("peak_area", "goodness_fitting", (-F.col("feature_id")).alias("n"))
-    return members.groupBy(compound).agg(F.max(rank).alias("x")).select(compound, (-F.col("x.n")).alias("feature_id"), F.col("x.peak_area").alias("peak_area"))
+    rank = F.struct((-F.col("peak_area")).alias("a"), (-F.col("goodness_fitting")).alias("g"), "feature_id")
+    return members.groupBy(compound).agg(F.min(rank).alias("x")).select(compound, "x.feature_id", (-F.col("x.a")).alias("peak_area"))
 
 
 def orphans(features: DataFrame, members: DataFrame, first: int = 100_000) -> DataFrame:
@@ -126,7 +126,7 @@ def quantitative_feature(matrix: DataFrame, cutoff: float) -> DataFrame:
     b = matrix.select("compound", F.col("feature_id").alias("other"), "sample_id", F.col("area").alias("area2"))
     pairs = matrix.join(b, ["compound", "sample_id"]).groupBy("compound", "feature_id", "other").agg(F.coalesce(F.corr("area", "area2"), F.lit(0.0)).alias("corr"))
     total = pairs.groupBy("compound", "feature_id").agg(F.sum(F.round("corr", 9)).alias("total"))
-    quant = total.groupBy("compound").agg(F.max(F.struct(F.round("total", 6), (-F.col("feature_id")).alias("n"))).alias("x")).select("compound", (-F.col("x.n")).alias("quant_id"))
+    quant = total.groupBy("compound").agg(F.min(F.struct((-F.round("total", 6)).alias("t"), "feature_id")).alias("x")).select("compound", F.col("x.feature_id").alias("quant_id"))
     to = pairs.join(quant, "compound").where(F.col("other") == F.col("quant_id"))
     return to.select("compound", "feature_id", "quant_id", "corr", (F.col("corr") > cutoff).alias("is_core"))
 

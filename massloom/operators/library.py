@@ -144,7 +144,7 @@ def pseudo_spectra(features: DataFrame, seeds: DataFrame, ri: float = 50, factor
 def spaced_tops(features: DataFrame, gap: float = 100, low: float = 1000, high: float = 4500) -> DataFrame:
     """The largest feature of each retention-index stratum (least id on ties)."""
     inside = features.where((F.col("RI") >= low) & (F.col("RI") < high))
-    best = F.max_by("feature_id", F.struct("peak_area", (-F.col("feature_id")).alias("n")))
+    best = F.min_by("feature_id", F.struct((-F.col("peak_area")).alias("a"), "feature_id"))
     return inside.groupBy(F.floor((F.col("RI") - low) / gap).alias("stratum")).agg(best.alias("feature_id"))
 
 

@@ -256,12 +256,12 @@ def track_index(spark, d):
     return B.track_index(f).select("track_id", F.array_join("feature_ids", ",").alias("ids"))
 
 
-@query("""WITH x AS (SELECT s::INT AS scan, s * 1.5 + s * s * 0.001 AS rtime FROM generate_series(0, 2555) AS g(s)), m AS (SELECT DISTINCT l_suppkey % 7 AS sample_id, (l_partkey % 2000)::INT AS scan FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH x AS (SELECT s::INT AS scan, s * 1.5::DOUBLE + s * s * 0.001::DOUBLE AS rtime FROM generate_series(0, 2555) AS g(s)), m AS (SELECT DISTINCT (l_suppkey % 7)::INT AS sample_id, (l_partkey % 2000)::INT AS scan FROM lineitem WHERE l_linenumber = 1),
 r AS (SELECT sample_id, scan, (scan + 1 + sample_id % 5)::INT AS ref_scan FROM m)
 SELECT s.sample_id, x.scan, round(coalesce(y.rtime, x.rtime) - x.rtime, 6) AS deviation FROM (SELECT DISTINCT sample_id FROM m) s CROSS JOIN x LEFT JOIN r ON r.sample_id = s.sample_id AND r.scan = x.scan LEFT JOIN x y ON y.scan = r.ref_scan""")
 def time_deviation(spark, d):
     axis = spark.range(2556).select(F.col("id").cast("int").alias("scan"), (F.col("id") * 1.5 + F.col("id") * F.col("id") * 0.001).alias("rtime"))
-    m = D.table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 7).alias("sample_id"), (F.col("l_partkey") % 2000).cast("int").alias("scan")).distinct()
+    m = D.table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 7).cast("int").alias("sample_id"), (F.col("l_partkey") % 2000).cast("int").alias("scan")).distinct()
     out = B.time_deviation(axis, m.select("sample_id").distinct(), m.withColumn("ref_scan", (F.col("scan") + 1 + F.col("sample_id") % 5).cast("int")))
     return out.select("sample_id", "scan", _r("deviation").alias("deviation"))
 
@@ -309,7 +309,7 @@ def track_summary(spark, d):
     return B.track_summary(D.points(spark, d), ["sample_id", "scan"])
 
 
-@query("SELECT p_retailprice AS mz, p_size * 1.5 AS rtime FROM part WHERE p_size > 40")
+@query("SELECT p_retailprice AS mz, p_size * 1.5::DOUBLE AS rtime FROM part WHERE p_size > 40")
 def reference_landmarks(spark, d):
     p = D.table(spark, d, "part")
     axis = spark.range(60).select(F.col("id").cast("int").alias("scan"), (F.col("id") * 1.5).alias("rtime"))
@@ -345,7 +345,7 @@ def compound_annotations(spark, d):
     return K.compound_annotations(found, f, lib).select("empCpd", "name", "score_cosine", "num_matched_peaks", "quant_ion", "rtime_quant_ion", "RI_quant_ion", "lib_RI", "delta_RI", "presence_ratio")
 
 
-@query("""SELECT p_partkey AS feature, round(p_retailprice, 3) AS "RI", p_brand AS name, round(p_retailprice / 997, 3) AS score_cosine, round(p_size + 0.0, 3) AS "lib_RI", round(p_retailprice - p_size, 3) AS "delta_RI" FROM part""")
+@query("""SELECT p_partkey AS feature, round(p_retailprice, 3) AS "RI", p_brand AS name, round(p_retailprice / 997, 3) AS score_cosine, round(p_size::DOUBLE, 3) AS "lib_RI", round(p_retailprice - p_size, 3) AS "delta_RI" FROM part""")
 def feature_annotations(spark, d):
     p, k, x = D.table(spark, d, "part"), F.col("p_partkey"), F.col("p_retailprice")
     notes = p.select(k.alias("feature_id"), k.alias("compound"), k.alias("quant_ion"), (x / 997).alias("cosine"), x.alias("entropy"), k.alias("id"))
