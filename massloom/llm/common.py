@@ -53,14 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, fixes row
-    identities, and survives lost executors. The files go when the driver's JVM ends."""
+    identities, and survives lost executors. The files go when release() says so, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/massloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for df in written:
+        path = df._written
+        _file_system(df.sparkSession, path).delete(df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def text_or_empty(array: pa.Array) -> list[bytes]:
@@ -143,14 +154,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Returns (node, component), the component being the smallest node in it. Alternates
     large-star and small-star steps, each a minimum over neighbours with map-side combining;
     a star's centre is only ever joined, never collected, so a hub of any degree is fine.
-    Every round is written to the shared folder, with the number of changed edges deciding the end.
-    Null ends and self loops: a self loop gives its node; edges with a null end are ignored.
+    Every round is written to the shared folder, in place of the round before, with the number of changed edges
+    deciding the end. Null ends and self loops: a self loop gives its node; edges with a null end are ignored.
     """
     edges = edges.where("a is not null and b is not null")
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
-    now = now.where("a <> b")
-    before = None
+    held = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    nodes = held.select(F.col("a").alias("node")).union(held.select("b")).distinct()
+    now, last, before = held.where("a <> b"), None, None
     for _ in range(rounds):
         # large star: every neighbour above a node goes to the least of its neighbourhood
         both = now.union(now.select("b", "a"))
@@ -163,6 +173,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = materialize(small.distinct())
+        if last is not None:
+            release(last)
+        last = now
         # fixed point: sums of hashed edges no longer change
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:

@@ -434,6 +434,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     more = common.materialize(_across(sketches, found, tied, percent))
     if not more.isEmpty():
         tied = common.materialize(common.components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    common.release(found, more)
     sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
     members = sketches.select("set_id", "key").join(tied.withColumnRenamed("node", "key"), "key").join(sizes, "component")
     names = every.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"))

@@ -182,4 +182,6 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Dat
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels outside the held-out fold; nulls, empty texts, ties and repeated rows as
+    in score."""
     return score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels"))

@@ -117,6 +117,8 @@ def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents under policy v1. Null and empty texts measure 0 and fail the base rules (fewer than ten
+    words); repeated rows are judged each; the rules know no ties; an empty table gives no rows."""
     led = apply_policy(ledger(common.table(spark, sf_dir, "documents")))
     return led.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

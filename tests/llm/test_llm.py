@@ -76,6 +76,16 @@ def test_ablations(table, empty):
     kept = quality_rules.apply_policy(led).where("kept").count()
     assert all(r.kept_without == kept + r.failed_alone and r.failed >= r.failed_alone for r in got.values())
     assert quality_rules.apply_policy(quality_rules.ledger(empty)).count() == 0
+    # brute force: every rule said again over the measurements, every policy without one rule counted row by row
+    rows = [r.asDict() for r in led.collect()]
+    failing = [{r.name for r in quality_rules.RULES if eval(r.fails, {}, m)} for m in rows]
+    for policy in quality_rules.POLICIES:
+        mine = {r.rule: r for r in quality_rules.ablations(led, policy).collect()}
+        assert set(mine) == set(quality_rules.POLICIES[policy])
+        for name, r in mine.items():
+            others = set(quality_rules.POLICIES[policy]) - {name}
+            assert (r.failed, r.kept_without) == (sum(name in f for f in failing), sum(not f & others for f in failing))
+            assert r.failed_alone == sum(f & set(quality_rules.POLICIES[policy]) == {name} for f in failing)
 
 
 def test_secrets_match_sql(spark, docs):
@@ -397,6 +407,29 @@ def test_rule_columns_equal_the_model(spark):
     assert (np.mean((model.predict(x) >= 0.5) == y)) > 0.95
 
 
+def test_rules_are_paths_of_the_data(spark):
+    """Every rule holds for some rows and not for all, and scores follow from statistics counted by hand."""
+    import math
+    from collections import Counter
+
+    texts = [_prose(i, 30 + i % 50) if i % 2 else " ".join(["x1", "#!"] * (10 + i % 7)) + f" END{i}" for i in range(120)]
+    x = np.array([quality_classifier._statistics(t.encode()) for t in texts])
+    for t, got in zip(texts, x, strict=True):
+        words = t.split()
+        c, top = Counter(words), [n for _, n in Counter(words).most_common(3)]
+        p = np.array(list(c.values())) / len(words)
+        want = {"n_words": len(words), "mean_word": np.mean([len(w) for w in words]), "top_word_share": top[0] / len(words), "top3_share": sum(top) / len(words), "unique_share": len(c) / len(words),
+                "word_entropy": -(p * np.log(p)).sum() / math.log(len(words) + 1), "digit_share": sum(ch.isdigit() for ch in t) / sum(map(len, words)), "max_word": max(map(len, words)),
+                "no_letter_share": np.mean([not any(ch.isalpha() for ch in w) for w in words]), "short_word_share": np.mean([len(w) <= 3 for w in words]), "capital_share": np.mean([w[0].isupper() for w in words])}
+        for name, v in want.items():
+            assert got[quality_classifier.STATISTICS.index(name)] == pytest.approx(v), name
+    model = quality_classifier.fit(x, np.arange(120) % 2)
+    held = np.stack([quality_classifier._holds(r, x) for r in model.rules])
+    assert len(model.rules) and (held.any(1) & ~held.all(1)).all()
+    z = model.bias + held.T @ model.weights
+    assert model.predict(x) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_lasso_drops_noise():
     draw = np.random.default_rng(0)
     lists = [[c for c in range(20) if draw.random() < 0.5] for _ in range(400)]
