@@ -19,7 +19,7 @@ from ..operators import peaks as P
 from ..operators import spectra as S
 from ..operators import tolerance as T
 from ..operators import tracks as R
-from ..operators.fragments import attach_to_tracks
+from ..operators.fragments import attach_to_tracks, best_entries
 from ..operators.settle import settle
 from ..params import Parameters
 from .align import align_samples
@@ -152,3 +152,14 @@ def annotate_gc(library: DataFrame, features: DataFrame, areas: DataFrame, knots
     indexed = L.kovats(features, knots)
     scores = L.library_scores(library, indexed, areas, p.ms2_tolerance_in_da, p.ri_tolerance, p.corr_cutoff)
     return L.curated(scores, p.entropy_cutoff, p.cosine_cutoff)
+
+
+def annotate_ms2(spectra: DataFrame, library: DataFrame, p: Parameters, key: str = "inchikey", ms1_da: float = 0.01, least_entropy: float = 0.2, least_cosine: float = 0.3) -> DataFrame:
+    """(key, lib_id, spec_id, entropy, cosine, n_matched): spectra(spec_id, precursor_mz, peaks), cleaned of their precursors, find
+    their best entry of library(lib_id, lib_precursor_mz, lib_peaks, key) by entropy; pairs whose cosine suffices too stay, and of
+    several pairs of one compound the best."""
+    clean = spectra.withColumn("peaks", S.cleaned(F.col("peaks"), F.col("precursor_mz"))).where(F.size("peaks") > 0)
+    found = S.precursor_search(clean, library, ms1_da, p.ms2_tolerance_in_da, least_entropy).withColumnRenamed("score", "entropy")
+    pairs = found.join(clean.select("spec_id", "peaks"), "spec_id").join(library.select("lib_id", "lib_peaks", key), "lib_id")
+    both = S.scored(pairs, "peaks", "lib_peaks", p.ms2_tolerance_in_da, "cosine").withColumnRenamed("score", "cosine").where(F.col("cosine") > least_cosine)
+    return best_entries(both, key, "cosine", ["lib_id", "spec_id"]).select(key, "lib_id", "spec_id", "entropy", "cosine", "n_matched")

@@ -176,6 +176,42 @@ def test_fragments(spark):
     assert row.n == 2 and [s.spec_id for s in row.spectra] == ["y", "x"]
 
 
+def test_all_scores_and_fragment_annotation(spark):
+    from massloom.params import Parameters
+    from massloom.plans import process
+
+    draw = np.random.default_rng(5)
+    kind = "array<struct<mz:double,intensity:double>>"
+    peaks = [sorted((float(m), float(i)) for m, i in zip(draw.uniform(50, 200, 6), draw.uniform(1, 10, 6), strict=True)) for _ in range(12)]
+    lib = spark.createDataFrame([(f"L{i}", 300.0 + i, p, f"key{i % 5}") for i, p in enumerate(peaks)], f"id string, mz double, peaks {kind}, inchikey string")
+    asked = spark.createDataFrame([(f"S{i}", 300.001 + i, [(m + 0.001, x) for m, x in peaks[i]]) for i in range(8)], f"spec_id string, precursor_mz double, peaks {kind}")
+    want = {}
+    for i in range(8):
+        for j, p in enumerate(peaks):
+            score, n = S.greedy_cosine(np.array([(m + 0.001, x) for m, x in peaks[i]]), np.array(p), 0.005)
+            if score >= 0.7 and n >= 1:
+                want[f"S{i}", f"L{j}"] = (score, n)
+    got = {(r.spec_id, r.id): (r.score, r.n_matched) for r in H.all_scores(asked, lib).collect()}
+    assert set(got) == set(want) and len(want) >= 8 and all(got[k] == pytest.approx(v) for k, v in want.items())
+    found = process.annotate_ms2(asked, lib.select(F.col("id").alias("lib_id"), F.col("mz").alias("lib_precursor_mz"), F.col("peaks").alias("lib_peaks"), "inchikey"), Parameters()).collect()
+    assert {r.inchikey for r in found} == {f"key{i}" for i in range(5)} and all(r.lib_id[1:] == r.spec_id[1:] for r in found)
+
+
+def test_seeded_members_correlate(spark, features):
+    df, rows = features
+    areas, table = _areas(spark, rows)
+    seeds = df.where("feature_id < 'F010'").select(F.col("feature_id").alias("seed_id"), F.col("RI").alias("seed_ri"), F.col("peak_area").alias("seed_area"))
+    at = {r[0]: r for r in rows}
+    got = {r.seed_id: {m.feature_id for m in r.members} for r in H.seeded(seeds, df, 100, 1000, areas, 0.5).collect()}
+    for s, members in got.items():
+        for m in members:
+            x, y = ([table[f, f"s{k}"] for k in range(8)] for f in (m, s))
+            d = abs(at[m][3] - at[s][3])
+            penalty = 1 if d < 1 else 2 / (1 + np.exp(np.e * d / 100))
+            assert d < 100 and np.corrcoef(x, y)[0, 1] * penalty >= 0.5 - 1e-9
+    assert all(s in members for s, members in got.items())
+
+
 def test_browsing(spark, tmp_path):
     s = spark.createDataFrame([("b", None, "passed"), ("a", datetime.datetime(2020, 1, 2), "failed"), ("c", datetime.datetime(2020, 1, 1), "passed")], "sample_id string, acquired timestamp, status string")
     assert [r.sample_id for r in B.acquisition_order(s).collect()] == ["c", "a", "b"] and B.valid_samples(s).count() == 2
