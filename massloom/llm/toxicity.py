@@ -90,11 +90,11 @@ def _features(words: Counter, memo: dict[bytes, tuple[bytes, ...]], vocabulary:
 def _hashed(words: Counter) -> np.ndarray:
     """All features of a text as sorted hashes, for choosing among very many."""
     hash_ = xxhash.xxh3_64_intdigest
-    marks = [(hash_(m), n) for w, n in words.items() for m in _marks(w)]
-    if not marks:
-        return np.zeros(0, np.uint64)
-    ids, of = np.unique(np.array([m for m, _ in marks], np.uint64), return_inverse=True)
-    count, total = np.bincount(of, [n for _, n in marks]), sum(words.values())
+    marks = np.fromiter((hash_(m) for w in words for m in _marks(w)), np.uint64)
+    if not len(marks):
+        return marks
+    ids, of = np.unique(marks, return_inverse=True)
+    count, total = np.bincount(of, [n for w, n in words.items() for _ in _marks(w)]), sum(words.values())
     held = [common.mix64(ids[(count >= least) & (1000 * count >= rate * total)] + np.uint64(k)) for k, (_, least, rate) in enumerate(LEVELS)]
     return np.sort(np.concatenate(held))
 
@@ -104,8 +104,11 @@ def _choose(rows: list[np.ndarray], y: np.ndarray, least_g2: float = 20.0) -> np
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
         return np.zeros(0, np.uint64)
-    mark, a = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), return_counts=True)
-    mark, a = mark[a >= 6], a[a >= 6].astype(float)  # fewer can't be beyond chance
+    every = np.concatenate([r for r, t in zip(rows, y, strict=True) if t])
+    every.sort()
+    ends = np.flatnonzero(np.r_[every[1:] != every[:-1], True])
+    a = np.diff(ends, prepend=-1)
+    mark, a = every[ends[a >= 6]], a[a >= 6].astype(float)  # fewer can't be beyond chance
     b = np.zeros(len(mark))
     for r, t in zip(rows, y, strict=True):
         if not t:
@@ -130,7 +133,7 @@ def _named(chosen: np.ndarray, rows: Iterable[Counter]) -> dict[bytes, int]:
             hashed = common.mix64(ids + k)
             for i in np.flatnonzero(np.isin(hashed, chosen)).tolist():
                 out[new[i] + name] = place[int(hashed[i])]
-        if len(seen) > 2_000_000:
+        if len(seen) > 200_000:  # forgotten marks are only looked up again
             seen.clear()
     return out
 
@@ -148,9 +151,11 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, shoddy: np.ndarray | No
     if not len(y) or not 0 < y.sum() < len(y):  # nothing to tell apart: nothing is rejected
         k = len(CATEGORIES)
         return Chain({}, np.zeros((k, 0)), np.zeros((k, k)), np.full(k, -7.0))
-    rows = [_words(t) for t in texts]
-    hashed = [_hashed(r) for r in rows]
-    size = np.array([sum(r.values()) for r in rows])
+    hashed, size = [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):  # one text's words at a time: the driver's memory is small
+        words = _words(t)
+        hashed.append(_hashed(words))
+        size[i] = sum(words.values())
     length = np.array([sum(n >= k for k in LENGTHS) for n in size.tolist()])
     low = np.zeros(len(y), bool) if shoddy is None else shoddy.astype(bool)
     targets = [y * (size < BRIEF), y * (size >= BRIEF), y * low, y]
@@ -180,7 +185,7 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, shoddy: np.ndarray | No
         weights[c], links[c, :c], bias[c] = w, v, b
     # the sample's share of toxic rows is not the corpus's
     bias[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    vocabulary = _named(chosen, (r for r, t in zip(rows, y, strict=True) if t)) | {b" %d" % k: len(chosen) + k for k in range(len(LENGTHS) + 1)}
+    vocabulary = _named(chosen, (_words(w) for w, t in zip(texts, y, strict=True) if t)) | {b" %d" % k: len(chosen) + k for k in range(len(LENGTHS) + 1)}
     return Chain(vocabulary, weights, links, bias)
 
 
