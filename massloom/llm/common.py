@@ -126,6 +126,11 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, n: str) -> DataFram
     total = right.agg(F.sum(n)).first()[0] or 0
     most = max(1000, total // HEAVY)
     heavy, light = F.broadcast(right.where(F.col(n) > most).drop(n)), right.where(F.col(n) <= most).drop(n)
+    # left is read once where all keys are of one kind
+    if light.isEmpty():
+        return left.join(heavy, on)
+    if right.where(F.col(n) > most).isEmpty():
+        return left.join(light.hint("merge"), on)
     return left.join(heavy, on).unionByName(left.join(heavy.select(on), on, "left_anti").join(light.hint("merge"), on))
 
 
