@@ -16,7 +16,7 @@ from .settle import settle
 from .tolerance import PPM
 
 #: Rows of a block, about, and blocks at most.
-BLOCK_ROWS, MAX_BLOCKS = 20_000, 4096
+BLOCK_ROWS, MAX_BLOCKS = 20_000, 512
 FAR = 999_999.0
 
 
