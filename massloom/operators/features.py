@@ -105,9 +105,12 @@ def numbered(df: DataFrame, order: str, name: str = "nth") -> DataFrame:
 
 def calibrated(features: DataFrame, library: DataFrame, ppm: float = 5.0, limit_ppm: float = 2.0) -> DataFrame:
     """features(feature_id, mz) with m/z divided by 1 + mean ratio of all matches where that ratio is beyond limit_ppm.
-    The mean is one row, joined back, not collected."""
-    hits = ppm_join(features.select(F.col("mz").alias("fmz")), library.select(F.col("mz").alias("lmz")), "fmz", "lmz", ppm)
-    ratio = hits.agg(F.coalesce(F.avg((F.col("fmz") - F.col("lmz")) / F.col("lmz")), F.lit(0.0)).alias("ratio"))
+    Rows of one m/z match alike, so each pair of distinct values counts as often as its rows pair up. The mean is one
+    row, joined back, not collected."""
+    held = lambda d, v, n: d.groupBy(F.col("mz").alias(v)).agg(F.count("*").cast("double").alias(n))
+    hits = ppm_join(held(features, "fmz", "fn"), held(library, "lmz", "ln"), "fmz", "lmz", ppm)
+    pairs = F.col("fn") * F.col("ln")
+    ratio = hits.agg(F.coalesce(F.sum((F.col("fmz") - F.col("lmz")) / F.col("lmz") * pairs) / F.sum(pairs), F.lit(0.0)).alias("ratio"))
     shift = F.when(F.abs("ratio") > limit_ppm * 1e-6, 1 + F.col("ratio")).otherwise(F.lit(1.0))
     return features.join(F.broadcast(ratio)).withColumn("mz_calibrated", F.col("mz") / shift)
 
