@@ -36,3 +36,13 @@ def test_calibration_joins_distinct_values(spark):
     assert len(rows) == 600 and abs(ratio) > 2e-7
     assert all(r.mz_calibrated == pytest.approx(r.mz / (1 + ratio), rel=1e-12) for r in rows)
     assert most <= 600
+
+
+def test_nearest_joins_distinct_values(spark):
+    draw = np.random.default_rng(2)
+    x, y = np.r_[draw.uniform(0, 40, 50).round(1), np.repeat(7.3, 300), -900.0, 5000.0], np.r_[np.repeat([3.0, 7.0, 7.6, 30.0], 100), draw.uniform(0, 40, 9).round(1)]
+    left, right = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None)], "i long, a double"), spark.createDataFrame([(500 - k, float(v)) for k, v in enumerate(y)], "k long, b double")
+    want = {i: min((abs(v - w), 500 - k) for k, w in enumerate(y)) for i, v in enumerate(x)} | {-1: (None, None)}
+    rows, most = joined(T.nearest(left, right, "a", "b", "k", 1.0))
+    assert {r.i: (r.gap, r.k) for r in rows} == want and len(rows) == len(want)
+    assert most <= len(want)
