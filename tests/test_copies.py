@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from massloom.operators import coelution as C
 from massloom.operators import features as X
+from massloom.operators import fragments as M
+from massloom.operators import search as H
+from massloom.operators import spectra as S
 from massloom.operators import tolerance as T
 
 
@@ -46,3 +50,92 @@ def test_nearest_joins_distinct_values(spark):
     rows, most = joined(T.nearest(left, right, "a", "b", "k", 1.0))
     assert {r.i: (r.gap, r.k) for r in rows} == want and len(rows) == len(want)
     assert most <= len(want)
+
+
+@pytest.fixture(scope="module")
+def indexed(spark):
+    """Features of few indices and areas, many of them alike."""
+    draw = np.random.default_rng(4)
+    rows = [(i, float(m), float(r), float(a)) for i, m, r, a in zip(range(700), draw.choice([900.0, 900.001, 950.5], 700), draw.integers(0, 60, 700) / 2, draw.integers(1, 30, 700), strict=True)]
+    return rows, spark.createDataFrame(rows, "feature_id long, mz double, RI double, peak_area double")
+
+
+@pytest.mark.parametrize("ri,factor", [(10, 3.0), (2.5, 1.0), (100, 1000.0)])
+def test_seeded_counts_by_brute_force(spark, indexed, ri, factor):
+    rows, f = indexed
+    seeds = f.where("feature_id % 25 = 0").select(F.col("feature_id").alias("spec_id"), F.col("RI").alias("seed_ri"), F.col("peak_area").alias("seed_area"))
+    want = {}
+    for i, _, r, a in rows[::25]:
+        own = [j for j, _, q, b in rows if abs(q - r) < ri and b > a / factor]
+        if len(own) > 1:
+            want[i] = (len(own), min(own))
+    got, most = joined(H.seeded_counts(seeds, f, ri, factor))
+    assert {r.spec_id: (r.n, r.first) for r in got} == want
+    assert most <= len(rows)
+    assert {(r.spec_id, len(r.members), r.members[0].feature_id) for r in H.seeded(seeds, f, ri, factor).collect()} == {(k, *v) for k, v in want.items()}
+
+
+def test_basepeak_counts_equal_the_listed_members(spark, indexed):
+    _, f = indexed
+    peak = F.struct((F.col("mz") * (1 + 2e-6)).alias("mz"), F.col("peak_area").alias("intensity"))
+    lib = f.where("feature_id % 10 = 0").select(F.col("feature_id").alias("id"), (F.col("RI") + 3).alias("RI"), peak.alias("base_peak"), F.array(peak).alias("peaks"), F.array(F.lit(900)).alias("rounded_list"))
+    listed = {(r.id, r.seed_id, r.n) for r in H.basepeak_search(lib, f, 5, 0.005, 4, 6, 5).select("id", "seed_id", F.size("members").alias("n")).collect()}
+    assert listed and {tuple(r) for r in H.basepeak_counts(lib, f, 5, 4, 6, 5).collect()} == listed
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    rows = [(i, 900 + (i % 30) / 10, i % 7) for i in range(1200)]
+    return rows, spark.createDataFrame(rows, "id long, mz double, apex int")
+
+
+def test_mass_differences_join_distinct_values(spark, parts):
+    rows, df = parts
+    expected = [(i, j, p, q) for i, m, p in rows for j, o, q in rows if abs(o - (m + 1.0)) < (m + 1.0) * 5e-6]
+    want = {i: (sum(1 for e in expected if e[0] == i), min(e[1] for e in expected if e[0] == i)) for i in {e[0] for e in expected}}
+    got, most = joined(T.mass_difference_counts(df, "id", "mz", [1.0]))
+    assert {r.id1: (r.n, r.least) for r in got} == want and most <= len(rows)
+    pairs, most = joined(T.coeluting_differences(df, "id", "mz", "apex", [1.0], 40, least=2))
+    near = [e[:2] for e in expected if abs(e[2] - e[3]) < 2]
+    assert sorted(map(tuple, pairs)) == sorted(near) and most <= len(near)
+
+
+def test_unique_matches_join_distinct_values(spark):
+    draw = np.random.default_rng(6)
+    left = [(i, float(500.0 + k * 0.1), float(t)) for i, (k, t) in enumerate(zip(np.r_[np.repeat(3, 300), draw.permutation(200)[:80]], np.r_[np.zeros(300), draw.integers(0, 3, 80)], strict=True))]
+    right = [(i, float(500.001 + k * 0.1), float(t)) for i, (k, t) in enumerate(zip(np.r_[np.repeat(3, 300), draw.permutation(200)[:80]], np.r_[np.zeros(300), draw.integers(0, 3, 80)], strict=True))]
+    a, b = spark.createDataFrame(left, "id1 long, mz1 double, rt1 double"), spark.createDataFrame(right, "id2 long, mz2 double, rt2 double")
+    (got,), most = joined(T.unique_matches(a, b, 5, 2))
+    want = T.unique_match_counts(T.feature_match(a, b, 5, 2)).first()
+    assert got == want and got.unique_pairs > 0 and most < 400
+
+
+def test_tracks_of_one_mass_share_their_list(spark, parts):
+    rows, df = parts
+    spectra = spark.createDataFrame([(k, 900 + (k % 60) / 20) for k in range(300)], "spec_id long, precursor_mz double")
+    tracks = df.select(F.col("id").alias("track_id"), "mz").union(spark.createDataFrame([(-1, None)], "track_id long, mz double"))
+    want = {i: [k for k in range(300) if abs(900 + (k % 60) / 20 - m) < m * 5e-6] for i, m, _ in rows} | {-1: []}
+    got, most = joined(M.attach_to_tracks(tracks, spectra))
+    assert {r.track_id: r.spec_ids for r in got} == want and most <= len(want)
+    short, _ = joined(M.attach_to_tracks(tracks, spectra, 5, {"n": F.size("spec_ids")}))
+    assert {r.track_id: r.n for r in short} == {k: len(v) for k, v in want.items()}
+
+
+def test_spectra_to_features_join_distinct_values(spark, parts):
+    rows, df = parts
+    peaks = F.array(F.struct(F.lit(1.0).alias("mz"), (F.col("id") % 11).cast("double").alias("intensity")))
+    got, most = joined(S.to_features(df.select(F.col("id").alias("feature_id"), "mz", F.col("apex").alias("rtime")), df.select(F.col("id").alias("spec_id"), F.col("mz").alias("precursor_mz"), F.col("apex").alias("rtime"), peaks.alias("peaks")), 5, 1))
+    want = {}
+    for i, m, t in rows:
+        own = [(j % 11, j) for j, o, u in rows if abs(o - m) < m * 5e-6 and abs(u - t) <= 1]
+        want[i] = (max(own)[1], len(own))
+    assert {r.feature_id: (r.spec_id, r.n_spectra) for r in got} == want and most <= len(rows)
+
+
+def test_annotations_are_listed_once_for_a_cluster(spark):
+    clustered = spark.createDataFrame([(i, f"c{i % 3}") for i in range(400)] + [(0, "c1"), (7, None)], "feature_id long, cluster string")
+    matches = spark.createDataFrame([(f"c{k % 4}", float(k % 5), k, f"n{k}") for k in range(100)], "cluster string, similarity double, n_matched long, name string")
+    got, most = joined(C.map_back(clustered, matches, ["name"]))
+    of = lambda cs: [f"n{k}" for _, _, k in sorted((-float(k % 5), f"n{k}", k) for k in range(100) if f"c{k % 4}" in cs)]
+    assert {r.feature_id: [a.value for a in r.annotations] for r in got} == {i: of({f"c{i % 3}"} | ({"c1"} if i == 0 else set())) for i in range(400)}
+    assert most <= 400
