@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .adjacency import gap_sessions
@@ -35,11 +37,15 @@ def fragment_spectra(clustered: DataFrame, features: DataFrame, areas: DataFrame
     return rows.groupBy("cluster", "sample_id", "total").agg(F.sort_array(F.collect_list(F.struct("mz", (F.col("area") / F.col("top")).alias("intensity")))).alias("peaks"))
 
 
-def map_back(clustered: DataFrame, matches: DataFrame, fields: list[str]) -> DataFrame:
+def map_back(clustered: DataFrame, matches: DataFrame, fields: list[str], shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """(feature_id, annotations): every match(cluster, similarity, n_matched, fields...) of a cluster for each of its
-    members, as (field, value, similarity, n_matched), best first; absent values read 'Not Found'."""
+    members, as (field, value, similarity, n_matched), best first; absent values read 'Not Found'. With `shown`, annotations is
+    that expression over them. Features of the same clusters share their annotations, which are built once."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("Not Found")).alias("value")) for f in fields])
     rows = matches.select("cluster", "similarity", "n_matched", F.explode(each).alias("x"))
     note = F.struct((-F.col("similarity")).alias("order"), F.col("x.field").alias("field"), F.col("x.value").alias("value"), F.col("n_matched"))
-    listed = clustered.join(rows, "cluster").groupBy("feature_id").agg(F.sort_array(F.collect_list(note)).alias("notes"))
-    return listed.select("feature_id", F.transform("notes", lambda n: F.struct(n["field"].alias("field"), n["value"].alias("value"), (-n["order"]).alias("similarity"), n["n_matched"].alias("n_matched"))).alias("annotations"))
+    held = clustered.where(F.col("cluster").isNotNull()).groupBy("feature_id").agg(F.sort_array(F.collect_list("cluster")).alias("__in"))
+    sets = held.select("__in").distinct().select("__in", F.explode("__in").alias("cluster"))
+    listed = sets.join(rows, "cluster").groupBy("__in").agg(F.sort_array(F.collect_list(note)).alias("notes"))
+    notes = F.transform("notes", lambda n: F.struct(n["field"].alias("field"), n["value"].alias("value"), (-n["order"]).alias("similarity"), n["n_matched"].alias("n_matched")))
+    return held.join(listed.select("__in", (shown(notes) if shown else notes).alias("annotations")), "__in").select("feature_id", "annotations")
