@@ -9,13 +9,17 @@ from .spectra import top_peaks
 from .tolerance import PPM, band_join, ppm_join
 
 
-def attach_to_tracks(tracks: DataFrame, spectra: DataFrame, ppm: float = 5.0) -> DataFrame:
+def attach_to_tracks(tracks: DataFrame, spectra: DataFrame, ppm: float = 5.0, reports: dict[str, Column] | None = None) -> DataFrame:
     """tracks(track_id, mz) with spec_ids, all spectra(spec_id, precursor_mz) within ppm of the track's m/z in order of id; a
-    spectrum may join several tracks, a track without any has an empty list."""
-    near = ppm_join(spectra.select("spec_id", "precursor_mz"), tracks.select("track_id", F.col("mz").alias("track_mz")), "precursor_mz", "track_mz", ppm)
-    held = near.groupBy("track_id").agg(F.sort_array(F.collect_list("spec_id")).alias("spec_ids"))
-    empty = F.array().cast(held.schema["spec_ids"].dataType)
-    return tracks.join(held, "track_id", "left").withColumn("spec_ids", F.coalesce("spec_ids", empty))
+    spectrum may join several tracks, a track without any has an empty list. Tracks of one m/z share a list, built once; with
+    `reports`, expressions over spec_ids, they hold those instead of it."""
+    masses = tracks.select(F.col("mz").alias("track_mz")).distinct()
+    near = ppm_join(spectra.select("spec_id", "precursor_mz"), masses, "precursor_mz", "track_mz", ppm)
+    held = near.groupBy("track_mz").agg(F.sort_array(F.collect_list("spec_id")).alias("spec_ids"))
+    listed = F.coalesce("spec_ids", F.array().cast(held.schema["spec_ids"].dataType))
+    columns = reports or {"spec_ids": F.col("spec_ids")}
+    of = masses.join(held, "track_mz", "left").withColumn("spec_ids", listed).select("track_mz", *[c.alias(name) for name, c in columns.items()])
+    return tracks.join(of, F.col("mz").eqNullSafe(F.col("track_mz"))).drop("track_mz")
 
 
 def by_compound(matches: DataFrame) -> DataFrame:
