@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.statistics import correlations
+from .settle import settle
 from .tolerance import ppm_join
 
 
@@ -124,14 +126,30 @@ def clean_pairs(pairs: DataFrame, keys: list[str], x: str, y: str, deviations: f
 
 
 def quantitative_feature(matrix: DataFrame, cutoff: float) -> DataFrame:
-    """matrix(compound, feature_id, sample_id, area) -> (compound, feature_id, quant_id, corr, is_core): the feature of the
-    greatest summed Pearson correlation quantifies a compound; core features correlate above the cutoff."""
-    b = matrix.select("compound", F.col("feature_id").alias("other"), "sample_id", F.col("area").alias("area2"))
-    pairs = matrix.join(b, ["compound", "sample_id"]).groupBy("compound", "feature_id", "other").agg(F.coalesce(F.corr("area", "area2"), F.lit(0.0)).alias("corr"))
-    total = pairs.groupBy("compound", "feature_id").agg(F.sum(F.round("corr", 9)).alias("total"))
-    quant = total.groupBy("compound").agg(F.min(F.struct((-F.round("total", 6)).alias("t"), "feature_id")).alias("x")).select("compound", F.col("x.feature_id").alias("quant_id"))
-    to = pairs.join(quant, "compound").where(F.col("other") == F.col("quant_id"))
-    return to.select("compound", "feature_id", "quant_id", "corr", (F.col("corr") > cutoff).alias("is_core"))
+    """matrix(compound, feature_id, sample_id, area), one row for a feature's sample -> (compound, feature_id, quant_id, corr,
+    is_core): the feature of the greatest summed Pearson correlation quantifies a compound; core features correlate above the
+    cutoff. A compound's features meet in one kernel, equal ones as one; no pair leaves it."""
+    f, c = matrix.schema["feature_id"].dataType.simpleString(), matrix.schema["compound"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, row = np.unique(pdf.feature_id.to_numpy(), return_inverse=True)
+        _, column = np.unique(pdf.sample_id.to_numpy(), return_inverse=True)
+        if len(set(zip(row, column, strict=True))) < len(pdf):
+            raise ValueError("a feature has a sample twice")
+        x, held = np.full((len(ids), column.max() + 1), np.nan), np.zeros((len(ids), column.max() + 1), bool)
+        x[row, column], held[row, column] = pdf.area.to_numpy(float), True
+        kinds, first, of, n = np.unique(np.hstack([np.nan_to_num(x), ~np.isnan(x), held]), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        own, of = x[first], of.ravel()
+        step = max(1, 4_000_000 // len(first))
+        total = np.concatenate([np.round(correlations(own[k : k + step], own), 9) @ n for k in range(0, len(first), step)])
+        best = np.floor(total[of] * 1e6 + 0.5)
+        quant = int(np.flatnonzero(best == best.max())[0])  # ids are in order
+        corr = correlations(own, x[quant : quant + 1])[of, 0]
+        met = (held & held[quant]).any(1)
+        return pd.DataFrame({"compound": pdf["compound"].iloc[0], "feature_id": ids[met], "quant_id": ids[quant], "corr": corr[met], "is_core": corr[met] > cutoff})
+
+    rows = matrix.select("compound", "feature_id", "sample_id", F.col("area").cast("double").alias("area")).where("compound is not null and sample_id is not null")
+    return rows.groupBy("compound").applyInPandas(run, f"compound {c}, feature_id {f}, quant_id {f}, corr double, is_core boolean")
 
 
 def joined_features(members: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from massloom.functions.statistics import correlations
 from massloom.operators import coelution as C
 from massloom.operators import features as X
 from massloom.operators import fragments as M
@@ -139,3 +140,72 @@ def test_annotations_are_listed_once_for_a_cluster(spark):
     of = lambda cs: [f"n{k}" for _, _, k in sorted((-float(k % 5), f"n{k}", k) for k in range(100) if f"c{k % 4}" in cs)]
     assert {r.feature_id: [a.value for a in r.annotations] for r in got} == {i: of({f"c{i % 3}"} | ({"c1"} if i == 0 else set())) for i in range(400)}
     assert most <= 400
+
+
+def test_correlations_pair_by_pair():
+    draw = np.random.default_rng(8)
+    x = draw.integers(0, 4, (40, 7)).astype(float)
+    x[draw.random((40, 7)) < 0.3] = np.nan
+    x[3], x[4, :] = 2.0, np.nan
+    full = draw.normal(size=(12, 7)) + 1e6
+    for a, b in ((x, x[:25]), (full, full)):
+        got = correlations(a, b)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                both = ~(np.isnan(a[i]) | np.isnan(b[j]))
+                p, q = a[i][both], b[j][both]
+                want = 0.0 if len(p) < 2 or np.ptp(p) == 0 or np.ptp(q) == 0 else np.corrcoef(p, q)[0, 1]
+                assert got[i, j] == pytest.approx(want, abs=1e-8), (i, j)
+
+
+def test_quantitative_feature_pairs_nothing_in_joins(spark):
+    draw = np.random.default_rng(3)
+    base = draw.integers(1, 50, (12, 6)).astype(float)
+    rows = [(i % 3, i, f"s{k}", float(base[i % 12, k])) for i in range(240) for k in range(6) if (i % 12, k) not in {(1, 2), (5, 0)} and not (i % 12 == 7 and k > 0)]
+    got, most = joined(X.quantitative_feature(spark.createDataFrame(rows, "compound int, feature_id long, sample_id string, area double"), 0.3))
+    area = {(i, s): a for _, i, s, a in rows}
+    for c in range(3):
+        ids = [i for i in range(240) if i % 3 == c]
+        vector = np.array([[area.get((i, f"s{k}"), np.nan) for k in range(6)] for i in ids])
+        corr = np.round(correlations(vector, vector), 9)
+        total = np.round(corr.sum(1), 6)
+        quant = ids[int(np.flatnonzero(total == total.max())[0])]
+        own = {r.feature_id: r for r in got if r.compound == c}
+        assert {r.quant_id for r in own.values()} == {quant}
+        for k, i in enumerate(ids):
+            met = (~np.isnan(vector[k]) & ~np.isnan(vector[ids.index(quant)])).any()
+            assert (i in own) == met
+            assert not met or (own[i].corr == pytest.approx(corr[k, ids.index(quant)], abs=1e-8) and own[i].is_core == (corr[k, ids.index(quant)] > 0.3))
+    assert most == 0
+
+
+def test_members_that_cannot_pass_meet_no_areas(spark):
+    members = spark.range(60).select(F.lit(0).cast("long").alias("seed_id"), F.col("id").alias("feature_id"), (F.col("id") * 10.0).alias("d_ri"))
+    areas = spark.range(60 * 4).select((F.col("id") / 4).cast("long").alias("feature_id"), (F.col("id") % 4).alias("sample_id"), (F.col("id") % 4 + 1.0).alias("area"))
+    got, most = joined(H.penalised_members(members, areas, 0.3, 1, 100))
+    assert {r.feature_id for r in got} == {i for i in range(60) if i == 0 or (10 * i <= 100 and 2 / (1 + np.exp(np.e * i / 10)) >= 0.3)}
+    assert most <= 4 * 7
+
+
+def test_numbers_are_those_of_the_counted_ranges(spark):
+    """Counting reads the key alone, so its ranges were joined to fewer than those of the wide rows that were numbered."""
+    df = spark.range(120_000, numPartitions=1).select((F.col("id") * 7919 % 120_000).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    got = X.numbered(df, "k").agg(F.count("*").alias("n"), F.count_if(F.col("nth") == F.col("k")).alias("same"), F.max("wide")).first()
+    assert tuple(got)[:2] == (120_000, 120_000)
+
+
+def test_scores_get_numbers_not_structs(spark):
+    pair = [([(1.0, 2.0), (2.0, 3.0)], [(1.0, 4.0)]), ([], [(1.0, 4.0)])]
+    df = spark.createDataFrame(pair, f"a {S.PEAKS}, b {S.PEAKS}")
+    out = S.scored(df, "a", "b", 0.1)
+    assert [(round(r.score, 6), r.n_matched) for r in out.collect()] == [(round(2 / 13**0.5, 6), 1), (0.0, 0)]
+    call = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line)
+    assert ".mz" in call and ".intensity" in call
+
+
+def test_a_spectrum_is_searched_for_its_top_once(spark):
+    df = spark.range(1).select(F.array(*[F.struct(F.lit(m).alias("mz"), (F.lit(x) + F.col("id")).alias("intensity")) for m, x in ((1.0, 2.0), (2.0, 9.0), (3.0, 3.0))]).alias("peaks"))
+    out = df.select(F.size(S.within_factor(F.col("peaks"), S.base_peak(F.col("peaks"))["intensity"], 4.0)).alias("n"))
+    assert out.first().n == 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max") <= 1
