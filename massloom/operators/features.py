@@ -93,16 +93,17 @@ def orphans(features: DataFrame, members: DataFrame, first: int = 100_000) -> Da
 
 
 def numbered(df: DataFrame, order: str, name: str = "nth") -> DataFrame:
-    """Dense numbers from 0 in the order of a column: rows are range-partitioned and numbered inside their
-    range, after the ranges before (one count per range goes to the driver)."""
-    held = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    sizes = dict(held.groupBy("__part").count().collect())
+    """Dense numbers from 0 in the order of a column: rows are range-partitioned and numbered inside their range, after the
+    ranges before (one count per range goes to the driver). Ranges come from a sample, so the rows are kept as they fell:
+    computed again, they could fall otherwise than counted."""
+    held = settle(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__place", 33)
+    sizes = dict(held.groupBy(part.alias("__part")).count().collect())
     before, total = {}, 0
     for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part")) if before else F.lit(0)
-    w = Window.partitionBy("__part").orderBy(order)
-    return held.withColumn(name, (F.row_number().over(w) - 1 + shift).cast("long")).drop("__part")
+        before[p], total = total - (p << 33), total + sizes[p]
+    shift = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), part) if before else F.lit(0)
+    return held.withColumn(name, (F.col("__place") + shift).cast("long")).drop("__place")
 
 
 def calibrated(features: DataFrame, library: DataFrame, ppm: float = 5.0, limit_ppm: float = 2.0) -> DataFrame:
