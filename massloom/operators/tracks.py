@@ -126,5 +126,12 @@ def time_axis(scans: DataFrame, length: int) -> DataFrame:
     return scans.select("scan", F.col("rtime").cast("double").alias("rtime")).groupBy(F.lit(1)).applyInPandas(fill, "scan int, rtime double")
 
 
+def exact_mean(x: Column, digits: int) -> Column:
+    """The mean of a group rounded half up, from an exact decimal sum where values are below 10^16 (12 digits behind the point are
+    kept): sums of doubles depend on the order of rows, and means of short decimals often lie just between two rounded values."""
+    exact = F.when(F.abs(x) < 1e16, x).try_cast("decimal(28,12)")
+    return F.when(F.count(exact) == F.count(x), F.round(F.sum(exact) / F.count(exact), digits).cast("double")).otherwise(F.round(F.avg(x), digits))
+
+
 def log2_or_null(x: Column) -> Column:
     return F.log2(F.nullif(x, F.lit(0)))

@@ -11,6 +11,7 @@ from massloom.operators import fragments as M
 from massloom.operators import search as H
 from massloom.operators import spectra as S
 from massloom.operators import tolerance as T
+from massloom.operators import tracks as R
 
 
 def _metrics(plan):
@@ -209,3 +210,15 @@ def test_a_spectrum_is_searched_for_its_top_once(spark):
     assert out.first().n == 2
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_max") <= 1
+
+
+def test_means_between_two_rounded_values_round_up(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    draw = np.random.default_rng(1)
+    rows = [(g, round(float(v), 2)) for g in range(400) for v in draw.uniform(0, 40, 64)] + [(-1, 1.0), (-1, float("nan")), (-2, None), (-3, 1e300)]
+    df = spark.createDataFrame(rows, "g long, x double").repartition(4, F.rand(3))
+    got = {r.g: r.m for r in df.groupBy("g").agg(R.exact_mean(F.col("x"), 6).alias("m")).collect()}
+    for g in range(400):
+        assert got[g] == float((sum(Decimal(str(v)) for k, v in rows if k == g) / 64).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    assert np.isnan(got[-1]) and got[-2] is None and got[-3] == 1e300
